@@ -30,8 +30,8 @@ from marketloom.llm.common import raw_rows, text_or_empty
 BLOCK = 1 << 20
 #: Fragments that are one piece for sure: a space at most, then letters of Latin scripts.
 ONE_PIECE = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+").fullmatch
-#: Fragments a worker remembers, and the longest that it does: about 150 MB at most.
-MEMO_FRAGMENTS = 700_000
+#: Fragments a worker remembers, and the longest that it does: about 60 MB at most.
+MEMO_FRAGMENTS = 250_000
 MEMO_BYTES = 48
 
 
@@ -67,6 +67,19 @@ def certain_cuts(tokens) -> np.ndarray:
     return fits.ravel() & ~joined_pairs(tokens)
 
 
+@lru_cache(maxsize=4)
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes that each id stands for."""
+    with open(path) as file:
+        spec = json.load(file)
+    back = {c: b for b, c in enumerate(byte_alphabet())}
+    ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    out = [b""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+    return out
+
+
 class Codec:
     """One vocabulary, with its cut table and the worker's memo of fragments."""
 
@@ -76,11 +89,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        back = {c: b for b, c in enumerate(byte_alphabet())}
-        self.token_bytes = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            known = all(c in back for c in token)
-            self.token_bytes[i] = bytes(back[c] for c in token) if known else token.encode()
+        self.token_bytes = token_bytes(path)
         added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = certain_cuts([*self.token_bytes, *added])
         self.memo: dict[bytes, bytes] = {}
@@ -137,10 +146,6 @@ class Codec:
         """The ids of a UTF-8 text as little-endian 32-bit integers."""
         return b"".join([self._ids_of(x) for x in self._fragments(raw)])
 
-    def decode(self, ids) -> bytes:
-        return b"".join([self.token_bytes[i] for i in ids])
-
-
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -152,9 +157,11 @@ def encode_ids(text, tokenizer_path: str):
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         one = codec(tokenizer_path)
-        rows = [one.encode(raw) for raw in raw_rows(column)]
-        ends = np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+        flat, ends = bytearray(), [0]
+        for raw in raw_rows(column):
+            flat += one.encode(raw)
+            ends.append(len(flat) // 4)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
 
     return encode(text_or_empty(text))
 
@@ -167,9 +174,9 @@ def decode_ids(ids, tokenizer_path: str):
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        one = codec(tokenizer_path)
+        table = token_bytes(tokenizer_path)
         offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-        return pa.array([one.decode(flat[a:b].tolist()).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+        return pa.array((b"".join([table[i] for i in flat[a:b].tolist()]).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:])), pa.string())
 
     return decode(F.coalesce(F.col(ids) if isinstance(ids, str) else ids, F.array().cast("array<int>")))
 
