@@ -52,9 +52,13 @@ def _one_canonical(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), url_host(url), let(path, lambda x: F.when(x == "", "/").otherwise(x)), query)
 
 
+def _named(name: str):
+    return lambda p: p.startswith(f"{name}=")
+
+
 def _unwrapped(url: Column) -> Column:
     """The target of a redirect host's URL, else the URL."""
-    found = [F.filter(_params(url), lambda p, k=k: p.startswith(f"{k}=")) for k in REDIRECT_PARAMS]
+    found = [F.filter(_params(url), _named(k)) for k in REDIRECT_PARAMS]
     target = F.coalesce(*(F.nullif(F.try_url_decode(F.regexp_replace(F.get(x, F.lit(0)), "^[^=]*=", "")), F.lit("")) for x in found))
     return let(target, lambda t: F.when(url_host(url).isin(REDIRECT_HOSTS) & t.rlike(r"^https?://[^/?#]+"), t).otherwise(url))
 
