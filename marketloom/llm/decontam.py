@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import gram_hashes, staged, word_ids
 
-GRAM = 4
+GRAM = 3
+#: Different seeds that a document must share with an item to be aligned (fewer, if the item has fewer).
+MIN_SEEDS = 2
 #: A seed is found this many times as often as its item's median gram, or MIN_COMMON times, at most.
 COMMON, MIN_COMMON = 8, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -150,7 +152,9 @@ def _leaks(docs: DataFrame, items: DataFrame, gram: int) -> DataFrame:
     known = grams.join(often, "gram")
     usual = known.groupBy("item").agg(F.percentile("n_found", F.lit(0.5)).alias("usual"))
     seeds = known.join(usual, "item").where(F.col("n_found") <= F.greatest(F.col("usual") * COMMON, F.lit(MIN_COMMON))).select("gram", "item")
+    enough = seeds.groupBy("item").agg(F.least(F.count("*"), F.lit(MIN_SEEDS)).alias("need"))
     met = found.join(seeds, "gram").groupBy("id", "at", "item").agg(F.count("*").alias("n_seeds"))
+    met = met.join(enough, "item").where("n_seeds >= need").drop("need")
     pairs = met.join(passages.select("id", "at", "words").dropDuplicates(["id", "at"]), ["id", "at"]).join(items.select("item", F.col("words").alias("item_words")), "item")
     return pairs.select("id", "item", "at", "n_seeds", aligned(F.col("item_words"), F.col("words")).alias("x"))
 
