@@ -38,7 +38,7 @@ def fuzzy_greedy_match(current: DataFrame, prior: DataFrame, lookback_days: int
     import pandas as pd
 
     def match(cur: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        if cur.empty or old.empty:
+        if "id" not in cur or "id" not in old:  # a ticker of one side only comes without that side's columns
             return pd.DataFrame([], columns=["cur_id", "prior_id", "similarity"])
         used: set = set()
         out = []

@@ -7,6 +7,7 @@ import os
 import pytest
 
 import marketloom.plans.news_queries
+import marketloom.plans.score_queries
 import marketloom.plans.series_queries
 import marketloom.plans.stream_queries
 import marketloom.plans.table_queries  # noqa: F401
