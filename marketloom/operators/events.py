@@ -38,11 +38,12 @@ def fuzzy_greedy_match(current: DataFrame, prior: DataFrame, lookback_days: int
     import pandas as pd
 
     def match(cur: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        if "id" not in cur or "id" not in old:  # a ticker of one side only comes without that side's columns
+        if cur.empty or old.empty:
             return pd.DataFrame([], columns=["cur_id", "prior_id", "similarity"])
         used: set = set()
         out = []
         by_day: dict = {}
+        old.columns = [c.removeprefix("prior_") for c in old.columns]
         for row in old.sort_values("id").itertuples():
             by_day.setdefault(row.day, []).append(row)
         for row in cur.sort_values("id").itertuples():
@@ -64,8 +65,10 @@ def fuzzy_greedy_match(current: DataFrame, prior: DataFrame, lookback_days: int
         return pd.DataFrame(out, columns=["cur_id", "prior_id", "similarity"])
 
     usable = "ticker is not null and title is not null and title <> '' and day is not null"
-    a, b = current.where(usable), prior.where(usable)
-    return a.groupBy("ticker").cogroup(b.groupBy("ticker")).applyInPandas(match, "cur_id long, prior_id long, similarity double")
+    names = ["id", "ticker", "title", "day", "meta"]
+    # both sides may come from one table: names of its own keep the second one's columns apart
+    a, b = current.where(usable).select(*names), prior.where(usable).select(*(F.col(c).alias(f"prior_{c}") for c in names))
+    return a.groupBy("ticker").cogroup(b.groupBy("prior_ticker")).applyInPandas(match, "cur_id long, prior_id long, similarity double")
 
 
 def pair_review(similarity, threshold: float = THRESHOLD, margin: float = 0.08) -> Column:
