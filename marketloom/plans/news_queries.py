@@ -99,11 +99,11 @@ def event_fingerprints(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_type AS ticker, value AS sentiment, CAST(ts AS DATE) >= DATE '2024-01-16' AS cur FROM events), a AS (SELECT ticker, avg(sentiment) FILTER (cur) AS now, avg(sentiment) FILTER (NOT cur) AS before FROM e GROUP BY ticker)
-  SELECT ticker, round(before, 5) AS before, round(now, 5) AS now, round(now - before, 5) AS change FROM a WHERE abs(now - before) >= 0.0001""")
+  SELECT ticker, round(before + 1e-9, 5) AS before, round(now + 1e-9, 5) AS now, round(now - before + 1e-9, 5) AS change FROM a WHERE abs(now - before) >= 0.0001""")
 def sentiment_change(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), F.col("value").alias("sentiment"), F.to_date("ts").alias("day"))
     out = ev.sentiment_change(rows.where("day >= '2024-01-16'"), rows.where("day < '2024-01-16'"))
-    return out.select("ticker", r("before", 5).alias("before"), r("now", 5).alias("now"), r("change", 5).alias("change"))
+    return out.select("ticker", *(r(F.col(c) + 1e-9, 5).alias(c) for c in ("before", "now", "change")))
 
 
 @query(PRICES + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM prices), m AS (SELECT symbol, (max(close) FILTER (r = 1) / coalesce(max(close) FILTER (r = 2), arg_min(close, date)) - 1) * 100 AS p FROM k GROUP BY symbol)
@@ -113,10 +113,10 @@ def price_alerts(spark, sf_dir):
 
 
 @query(EVENTS + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM daily), s AS (SELECT symbol, max(value) FILTER (r = 1) AS now, avg(value) FILTER (r > 1 AND r <= 8) AS before, count(*) AS n FROM k GROUP BY symbol)
-  SELECT symbol, round(now, 5) AS now, round(before, 5) AS before, round(now - before, 5) AS change, CASE WHEN abs(now - before) >= 0.7 THEN 'CRITICAL' WHEN abs(now - before) >= 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM s WHERE n >= 7 AND abs(now - before) >= 0.3""")
+  SELECT symbol, round(now + 1e-9, 5) AS now, round(before + 1e-9, 5) AS before, round(now - before + 1e-9, 5) AS change, CASE WHEN abs(now - before) >= 0.7 THEN 'CRITICAL' WHEN abs(now - before) >= 0.5 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM s WHERE n >= 7 AND abs(now - before) >= 0.3""")
 def sentiment_swings(spark, sf_dir):
     out = dc.sentiment_swings(daily_events(spark, sf_dir))
-    return out.select("symbol", *(r(c, 5).alias(c) for c in ("now", "before", "change")), "severity")
+    return out.select("symbol", *(r(F.col(c) + 1e-9, 5).alias(c) for c in ("now", "before", "change")), "severity")
 
 
 _CARD = ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM prices), m AS (SELECT symbol, max(close) FILTER (r = 1) / max(close) FILTER (r = 22) - 1 AS m1, max(close) FILTER (r = 1) / max(close) FILTER (r = 67) - 1 AS m3 FROM k GROUP BY symbol)"

@@ -196,15 +196,15 @@ def decayed_sentiment(spark, sf_dir):
 
 
 @query(EVENTS + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS r, count(*) OVER (PARTITION BY symbol) AS c FROM daily)
-  SELECT symbol, round(avg(value) FILTER (r > c // 2) - avg(value) FILTER (r <= c // 2), 6) AS trend FROM k GROUP BY symbol""")
+  SELECT symbol, round(avg(value) FILTER (r > c // 2) - avg(value) FILTER (r <= c // 2) + 1e-9, 6) AS trend FROM k GROUP BY symbol""")
 def sentiment_trend(spark, sf_dir):
-    return ts.half_trend(daily_events(spark, sf_dir), "value").select("symbol", r("trend").alias("trend"))
+    return ts.half_trend(daily_events(spark, sf_dir), "value").select("symbol", r(F.col("trend") + 1e-9).alias("trend"))
 
 
 @query(EVENTS + """, k AS (SELECT symbol, n, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS i FROM daily), s AS (SELECT symbol, avg(n) AS mean, quantile_cont(n, 0.5) AS median, regr_slope(n, i) AS slope FROM k GROUP BY symbol)
-  SELECT symbol, round(mean, 4) AS mean, round(median, 4) AS median, round(slope, 6) AS slope, CASE WHEN slope > 0.1 THEN 'increasing' WHEN slope < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM s""")
+  SELECT symbol, round(mean + 1e-9, 4) AS mean, round(median + 1e-9, 4) AS median, round(slope, 6) AS slope, CASE WHEN slope > 0.1 THEN 'increasing' WHEN slope < -0.1 THEN 'decreasing' ELSE 'stable' END AS trend FROM s""")
 def trend_slope(spark, sf_dir):
-    return ts.slope_trend(daily_events(spark, sf_dir), "n").select("symbol", r("mean", 4).alias("mean"), r("median", 4).alias("median"), r("slope").alias("slope"), "trend")
+    return ts.slope_trend(daily_events(spark, sf_dir), "n").select("symbol", r(F.col("mean") + 1e-9, 4).alias("mean"), r(F.col("median") + 1e-9, 4).alias("median"), r("slope").alias("slope"), "trend")
 
 
 @query(PRICES + """, z AS (SELECT symbol, date, close, count(close) OVER w AS n, avg(close) OVER w AS m, stddev_samp(close) OVER w AS s FROM prices WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)),

@@ -11,10 +11,18 @@ from marketloom.operators import relational as rel
 from marketloom.plans.registry import query, table
 
 
+#: Means of amounts in cents can lie just between two rounded values; both engines are moved off such ties.
+EPS = 1e-9
+
+
 def r(column, digits: int = 6):
     return F.round(column, digits)
 
 
+def mean(column, digits: int = 6):
+    return F.round((F.col(column) if isinstance(column, str) else column) + EPS, digits)
+
+
 @query("""WITH k AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate, l_quantity, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS r FROM lineitem)
   SELECT l_orderkey, l_linenumber, l_shipdate FROM k WHERE r = 1""")
 def latest_upsert(spark, sf_dir):
@@ -53,11 +61,11 @@ def correlated_first(spark, sf_dir):
     return rel.lookup_first(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), facts, "k", "priority", "o_orderkey")
 
 
-@query("""SELECT c_custkey AS k, round(coalesce(avg(o_totalprice), 0), 6) AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+@query("""SELECT c_custkey AS k, round(coalesce(avg(o_totalprice), 0) + 1e-9, 6) AS price FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
 def correlated_mean(spark, sf_dir):
     facts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("price"))
     out = rel.lookup_mean(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), facts, "k", "price")
-    return out.select("k", r("price").alias("price"))
+    return out.select("k", mean("price").alias("price"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, event_type, CAST(ts AS DATE) AS day FROM events), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS nth FROM e WHERE day >= DATE '2024-01-16'),
@@ -90,19 +98,19 @@ def set_operations(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT source, count(*) AS mentions, avg(n_chars) AS m FROM documents GROUP BY source), k AS (SELECT *, row_number() OVER (ORDER BY mentions DESC, source) AS rank FROM s)
-  SELECT source, mentions, round(m, 4) AS mean_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
+  SELECT source, mentions, round(m + 1e-9, 4) AS mean_score, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
 def mention_leaders(spark, sf_dir):
-    return ag.leaders(table(spark, sf_dir, "documents"), "source", "n_chars").select("source", "mentions", r("mean_score", 4).alias("mean_score"), "rank")
+    return ag.leaders(table(spark, sf_dir, "documents"), "source", "n_chars").select("source", "mentions", mean("mean_score", 4).alias("mean_score"), "rank")
 
 
 @query("""WITH a AS (SELECT event_type, user_id, value, date_diff('microsecond', ts, TIMESTAMP '2024-01-31 00:00:00') / 3.6e9 AS age FROM events)
   SELECT event_type, count(*) FILTER (age <= 24) AS n_24h, count(*) FILTER (age <= 72) AS n_3d, count(*) FILTER (age <= 168) AS n_7d, count(*) FILTER (age <= 720) AS n_30d,
-  round(avg(value) FILTER (age <= 24), 5) AS mean_24h, round(avg(value) FILTER (age <= 72), 5) AS mean_3d, round(avg(value) FILTER (age <= 168), 5) AS mean_7d, round(avg(value) FILTER (age <= 720), 5) AS mean_30d, count(DISTINCT user_id) AS n_sources FROM a GROUP BY event_type""")
+  round(avg(value) FILTER (age <= 24) + 1e-9, 5) AS mean_24h, round(avg(value) FILTER (age <= 72) + 1e-9, 5) AS mean_3d, round(avg(value) FILTER (age <= 168) + 1e-9, 5) AS mean_7d, round(avg(value) FILTER (age <= 720) + 1e-9, 5) AS mean_30d, count(DISTINCT user_id) AS n_sources FROM a GROUP BY event_type""")
 def recency_buckets(spark, sf_dir):
     as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     rows = table(spark, sf_dir, "events").withColumn("age", (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9)
     out = ag.recency_summary(rows, "event_type", "age", "value", "user_id")
-    return out.select("event_type", "n_24h", "n_3d", "n_7d", "n_30d", *(r(c, 5).alias(c) for c in ("mean_24h", "mean_3d", "mean_7d", "mean_30d")), "n_sources")
+    return out.select("event_type", "n_24h", "n_3d", "n_7d", "n_30d", *(mean(c, 5).alias(c) for c in ("mean_24h", "mean_3d", "mean_7d", "mean_30d")), "n_sources")
 
 
 @query("""WITH a AS (SELECT CASE WHEN age <= 24 THEN 'today_signal' WHEN age <= 72 THEN 'recent_pulse' WHEN age <= 168 THEN 'weekly_trend' WHEN age <= 720 THEN 'background_context' ELSE 'archive_context' END AS bucket
@@ -151,11 +159,11 @@ def score_disagreement(spark, sf_dir):
     return ag.disagreement(rows, "ticker", "ours", "theirs").select("ticker", "n", "n_disagree", r("ratio").alias("ratio"), "grade")
 
 
-@query("""SELECT event_type AS feature, CASE WHEN value > 10 THEN 'ok' ELSE 'slow' END AS status, count(*) AS n, round(avg(value), 4) AS mean_duration, CAST(grouping(event_type, CASE WHEN value > 10 THEN 'ok' ELSE 'slow' END) AS BIGINT) AS level
+@query("""SELECT event_type AS feature, CASE WHEN value > 10 THEN 'ok' ELSE 'slow' END AS status, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean_duration, CAST(grouping(event_type, CASE WHEN value > 10 THEN 'ok' ELSE 'slow' END) AS BIGINT) AS level
   FROM events GROUP BY GROUPING SETS ((event_type), (CASE WHEN value > 10 THEN 'ok' ELSE 'slow' END), ())""")
 def audit_summary_sets(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("feature"), F.when(F.col("value") > 10, "ok").otherwise("slow").alias("status"), "value")
-    return ag.audit_summary(rows, "feature", "status", "value").select("feature", "status", "n", r("mean_duration", 4).alias("mean_duration"), "level")
+    return ag.audit_summary(rows, "feature", "status", "value").select("feature", "status", "n", mean("mean_duration", 4).alias("mean_duration"), "level")
 
 
 @query("""WITH e AS (SELECT user_id % 20 AS publisher, event_id, value > 10 AS ok, event_type AS reason FROM events), t AS (SELECT publisher, reason, row_number() OVER (PARTITION BY publisher ORDER BY count(*) DESC, reason) AS r FROM e WHERE NOT ok GROUP BY 1, 2)
@@ -177,10 +185,10 @@ _METRICS = f"""u AS (SELECT variation, user_id, count(*) AS n, max(CAST(event_ty
   m AS (SELECT variation, count(*) AS users, CAST(sum(hit) AS BIGINT) AS conversions, avg(hit) AS rate, coalesce(sum(v), 0) AS value, avg(CAST(n = 1 AS INTEGER)) AS bounce FROM u GROUP BY variation)"""
 
 
-@query(f"WITH {_METRICS} SELECT variation, users, conversions, round(rate, 6) AS rate, round(value, 4) AS value, round(bounce, 6) AS bounce FROM m")
+@query(f"WITH {_METRICS} SELECT variation, users, conversions, round(rate, 6) AS rate, round(value + 1e-9, 4) AS value, round(bounce, 6) AS bounce FROM m")
 def ab_metrics(spark, sf_dir):
     out = ag.experiment_metrics(experiment(spark, sf_dir), "variation", "user_id", "event_type", "value", "purchase")
-    return out.select("variation", "users", "conversions", r("rate").alias("rate"), r("value", 4).alias("value"), r("bounce").alias("bounce"))
+    return out.select("variation", "users", "conversions", r("rate").alias("rate"), mean("value", 4).alias("value"), r("bounce").alias("bounce"))
 
 
 @query(f"""WITH {_METRICS}, j AS (SELECT t.variation, t.rate AS p1, t.users AS n1, c.rate AS p0, c.users AS n0, (t.users * t.rate + c.users * c.rate) / (t.users + c.users) AS p FROM m t JOIN m c ON t.variation = 'treatment' AND c.variation = 'control')
@@ -207,20 +215,20 @@ def threshold_sweep(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT list_distinct([quantile_cont(o_totalprice, i / 10.0) FOR i IN [0]]) AS unused FROM orders), q AS (SELECT quantile_cont(o_totalprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM orders),
-  d AS (SELECT o_totalprice AS x, len(list_filter(e, lambda y: y < o_totalprice)) AS bin FROM orders, q) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(x), 3) AS mean FROM d GROUP BY bin""".replace("b AS (SELECT list_distinct([quantile_cont(o_totalprice, i / 10.0) FOR i IN [0]]) AS unused FROM orders), ", ""))
+  d AS (SELECT o_totalprice AS x, len(list_filter(e, lambda y: y < o_totalprice)) AS bin FROM orders, q) SELECT CAST(bin AS INTEGER) AS bin, count(*) AS n, round(avg(x) + 1e-7, 3) AS mean FROM d GROUP BY bin""".replace("b AS (SELECT list_distinct([quantile_cont(o_totalprice, i / 10.0) FOR i IN [0]]) AS unused FROM orders), ", ""))
 def confidence_deciles(spark, sf_dir):
     rows = ag.deciles(table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("x")), "x", "bin")
-    return rows.groupBy("bin").agg(F.count("*").alias("n"), r(F.avg("x"), 3).alias("mean"))
+    return rows.groupBy("bin").agg(F.count("*").alias("n"), r(F.avg("x") + 1e-7, 3).alias("mean"))
 
 
 @query("""WITH e AS (SELECT user_id % 10 AS worker, CASE WHEN event_type = 'error' THEN 'error' WHEN event_type = 'view' THEN 'duplicate' ELSE 'success' END AS status, value FROM events),
   k AS (SELECT *, row_number() OVER (PARTITION BY worker ORDER BY value) AS p, count(*) OVER (PARTITION BY worker) AS n FROM e)
-  SELECT worker, count(*) AS n, round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (status = 'duplicate') / count(*), 6) AS duplicate_rate, round(avg(value), 5) AS mean_seconds, max(value) FILTER (p = least(CAST(floor(n * 0.95) AS BIGINT) + 1, n)) AS p95 FROM k GROUP BY worker""")
+  SELECT worker, count(*) AS n, round(count(*) FILTER (status = 'success') / count(*), 6) AS success_rate, round(count(*) FILTER (status = 'error') / count(*), 6) AS error_rate, round(count(*) FILTER (status = 'duplicate') / count(*), 6) AS duplicate_rate, round(avg(value) + 1e-9, 5) AS mean_seconds, max(value) FILTER (p = least(CAST(floor(n * 0.95) AS BIGINT) + 1, n)) AS p95 FROM k GROUP BY worker""")
 def pipeline_metrics(spark, sf_dir):
     status = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "view", "duplicate").otherwise("success")
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("worker"), status.alias("status"), "value")
     out = ag.pipeline_metrics(rows, "worker", "status", "value")
-    return out.select("worker", "n", *(r(c).alias(c) for c in ("success_rate", "error_rate", "duplicate_rate")), r("mean_seconds", 5).alias("mean_seconds"), "p95")
+    return out.select("worker", "n", *(r(c).alias(c) for c in ("success_rate", "error_rate", "duplicate_rate")), mean("mean_seconds", 5).alias("mean_seconds"), "p95")
 
 
 @query("""WITH k AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem) SELECT l_suppkey, l_orderkey, l_linenumber, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
