@@ -4,11 +4,11 @@ A pair of bytes that occurs inside no token of the vocabulary can never be
 merged across, so the place between them is a token boundary in every text.
 Where such a place is also certain to separate (or harmlessly divide) pieces
 of the pre-tokeniser, a text is cut there; the fragments are encoded
-independently and their ids concatenated. Fragments repeat a great deal, so
-each is encoded once per worker and looked up afterwards.
+independently and their ids concatenated, so memory is bounded by the longest
+stretch without a certain cut, not by the text.
 
-Nulls count as empty texts, which have no ids. Texts of any length are walked
-in blocks; a text in which no certain cut occurs is one fragment. Rows, ties
+Nulls count as empty texts, which have no ids. A text in which no certain cut
+occurs is one fragment. Rows, ties
 and repeats are independent of each other, extra columns are kept, and an
 existing column of the output's name is replaced.
 """
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import raw_rows, text_or_empty
 
-BLOCK = 1 << 20
-#: Fragments that are one piece for sure: a space at most, then letters of Latin scripts.
-ONE_PIECE = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+").fullmatch
-#: Fragments a worker remembers, and the longest that it does: about 60 MB at most.
-MEMO_FRAGMENTS = 250_000
-MEMO_BYTES = 48
+#: Least length of a fragment, and how far one look for a cut reaches (both in bytes).
+FRAGMENT, BLOCK = 1024, 256
+#: The pieces that byte-level vocabularies of this family are split into first: a fixed value.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Finds characters from U+0180 on, whose classes regular expression engines may date differently.
+BEYOND_LATIN = re.compile(rb"[\xc6-\xff]").search
 
 
 def byte_alphabet() -> list[str]:
@@ -81,7 +81,7 @@ def token_bytes(path: str) -> list[bytes]:
 
 
 class Codec:
-    """One vocabulary, with its cut table and the worker's memo of fragments."""
+    """One vocabulary with its cut table."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -90,61 +90,50 @@ class Codec:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.token_bytes = token_bytes(path)
-        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = certain_cuts([*self.token_bytes, *added])
-        self.memo: dict[bytes, bytes] = {}
-        self.piece = self._piece_encoder(path, {*added})
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = certain_cuts([*self.token_bytes, *self.added])
+        self.ranked = self._ranked(path)
 
-    def _piece_encoder(self, path: str, added: set[bytes]):
-        """Encodes one pre-tokenised piece from the same vocabulary, if its ids follow the order of the merges."""
+    def _ranked(self, path: str):
+        """An encoder of the same pieces from ranks, if the vocabulary is plain and its ids follow the order of the merges."""
         import tiktoken
 
         with open(path) as file:
             spec = json.load(file)
-        ranks = {t: i for i, t in enumerate(self.token_bytes) if t and t not in added}
+        ranks = {t: i for i, t in enumerate(self.token_bytes) if t and t not in self.added}
         merged = [spec["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        if not plain or merged != sorted(merged) or len(ranks) + len(added) != len(self.token_bytes):
+        if not plain or merged != sorted(merged) or len(ranks) + len(self.added) != len(self.token_bytes):
             return None
-        return tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-
-    def _learn(self, fragments: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of fragments that the memo lacks; the short ones join it."""
-        new = [f for f in {*fragments} if f not in self.memo]
-        ids = {}
-        if self.piece:
-            ids = {f: self.piece(f) for f in new if f[f[:1] == b" " :].isalpha() or ONE_PIECE(f)}
-            new = [f for f in new if f not in ids]
-        ids.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False))))
-        found = {f: array("i", x).tobytes() for f, x in ids.items()}
-        if len(self.memo) > MEMO_FRAGMENTS:
-            self.memo = {}
-        self.memo.update(x for x in found.items() if len(x[0]) <= MEMO_BYTES)
-        return found
-
-    def _ids_of(self, fragments: list[bytes]) -> bytes:
-        try:
-            return b"".join([self.memo[f] for f in fragments])
-        except KeyError:
-            memo = self.memo
-            found = self._learn(fragments)
-            return b"".join([found[f] if f in found else memo[f] for f in fragments])
-
-    def _fragments(self, raw: bytes):
-        """Lists of the fragments of a text, a list for each block."""
+        return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _ids_of(self, fragment: bytes) -> bytes:
+        if self.ranked and not BEYOND_LATIN(fragment) and not any(t in fragment for t in self.added):
+            return array("i", self.ranked(fragment.decode())).tobytes()
+        return array("i", self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
+
+    def fragments(self, raw: bytes):
+        """Pieces of a text between certain cuts, FRAGMENT bytes or a little more each."""
         codes, start = np.frombuffer(raw, np.uint8), 0
-        for low in range(0, len(raw), BLOCK):
-            part = codes[low : low + BLOCK + 1]
-            ends = (np.flatnonzero(self.cut[(part[:-1].astype(np.uint16) << 8) | part[1:]]) + (low + 1)).tolist()
-            if low + BLOCK >= len(raw):
-                ends.append(len(raw))
-            if ends:
-                yield [raw[a:b] for a, b in zip([start, *ends], ends)]
-                start = ends[-1]
+        while len(raw) - start > FRAGMENT:
+            low = start + FRAGMENT
+            while low < len(raw) - 1:  # look for a cut in ever later blocks
+                part = codes[low : low + BLOCK + 1]
+                if len(found := np.flatnonzero(self.cut[(part[:-1].astype(np.uint16) << 8) | part[1:]])):
+                    break
+                low += BLOCK
+            else:
+                break
+            end = low + int(found[0]) + 1
+            yield raw[start:end]
+            start = end
+        if start < len(raw):
+            yield raw[start:]
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian 32-bit integers."""
-        return b"".join([self._ids_of(x) for x in self._fragments(raw)])
+        return b"".join([self._ids_of(x) for x in self.fragments(raw)])
+
 
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:

@@ -57,12 +57,16 @@ def test_bpe_is_the_librarys(text):
     text = raw.decode()
     ids = np.frombuffer(one.encode(raw), np.int32).tolist()
     assert ids == one.tokenizer.encode(text, add_special_tokens=False).ids
+    with pytest.MonkeyPatch.context() as m:  # cut at every certain place
+        m.setattr(bpe, "FRAGMENT", 1)
+        assert np.frombuffer(one.encode(raw), np.int32).tolist() == ids
     table = bpe.token_bytes(queries.tokenizer_path())
     assert b"".join(table[i] for i in ids).decode("utf-8", "replace") == one.tokenizer.decode(ids, skip_special_tokens=False)
 
 
 def test_bpe_long_texts_cross_blocks(monkeypatch, tokenizer):
-    monkeypatch.setattr(bpe, "BLOCK", 64)
+    monkeypatch.setattr(bpe, "FRAGMENT", 20)
+    monkeypatch.setattr(bpe, "BLOCK", 7)
     text = "Words, and more words'll be (cut) at 123 places.\n\n" * 40 + "z" * 300
     assert np.frombuffer(bpe.Codec(queries.tokenizer_path()).encode(text.encode()), np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
