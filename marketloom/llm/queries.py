@@ -29,8 +29,8 @@ def sha256(text) -> F.Column:
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token sequence of ``documents``, read back from the shards in training order."""
     path = tokenizer_path()
-    sequences = training_order.stage_sequences(table(spark, sf_dir, "documents"), path)
-    manifest = training_order.write_shards(sequences, TRAINING_KEY, len(bpe.token_bytes(path)))
+    sequences, size = training_order.place_sequences(table(spark, sf_dir, "documents"), path, TRAINING_KEY)
+    manifest = training_order.write_shards(sequences, size, len(bpe.token_bytes(path)))
     rows = training_order.read_shards(manifest)
     return rows.select("slot", "shard", F.col("id").alias("doc_id"), "seq_no", "n_tokens", F.sha2("payload", 256).alias("ids_sha256"))
 

@@ -1,16 +1,21 @@
 """Training order: fixed-stride token shards in a keyed random order.
 
-Texts are encoded and cut into sequences of at most ``seq_len`` ids. A keyed
-Feistel network over the smallest even number of bits that holds the number of
-sequences, walked along its cycle until it lands inside, gives every sequence
-one global slot: a permutation that any task evaluates for itself, without a
-sort or a table. Slots are dealt by ranges to shards, each a file of records
-of the same length, so the record of a slot lies at a known place and a reader
-can go on wherever it stopped.
-
-The numbering before the permutation is the order of the staged sequences
-(partition, then position), which their table fixes once written. Empty and
-null texts have no sequence; nothing is dropped or cut short otherwise.
+Texts are encoded and cut into sequences of at most ``seq_len`` ids. Before
+anything is encoded, every text gets as many index places as it could have
+sequences (a token has one byte at least); their sum is the domain. A keyed
+Feistel network over the smallest even number of bits that holds the domain,
+walked along its cycle until it lands inside, maps every index to a place:
+a permutation that each task evaluates for itself, without a sort or a table.
+Places are dealt by ranges to shards, each a file of records of the same
+length in the order of their places. A sequence's global slot is its number
+in that order, so slots are dense, a slot lies at a known offset of a known
+shard, and a reader can go on wherever it stopped.
+
+Texts are encoded once and moved once; nothing is staged in between. Indexes
+follow the partitions of the scan (their sums are one number each on the
+driver, which keeps as much about every task anyway); a task that finds
+another sum than was announced fails instead of writing. Empty and null texts
+have no sequence; nothing is dropped or cut short otherwise.
 """
 
 from __future__ import annotations
@@ -23,19 +28,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marketloom.llm.bpe import codec
 from marketloom.llm.common import mix64, raw_rows, shared_path, staged, text_or_empty
 
 SEQ_LEN = 512
-SHARD_RECORDS = 16384
+#: Places of one shard; with some 0.4 tokens a byte about that share of them are records.
+SHARD_PLACES = 40_000
 ROUNDS = 6
 MAGIC = b"MLSHARD1"
-#: Magic, sequence length, bytes of an id, first slot, number of records.
+#: Magic, sequence length, bytes of an id, first place, number of places.
 HEADER = "<8sIIQQ"
 #: Document id, number of the sequence in the document, ids that are no padding.
 RECORD = "<qii"
 ROWS = 1024
+#: Tasks that read shards, at most.
+READERS = 20_000
 
 
 def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
@@ -56,49 +65,46 @@ def feistel(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return slots.astype(np.int64)
 
 
-def stage_sequences(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN) -> DataFrame:
-    """``part, pos, id, seq_no, n_tokens, payload``: all sequences, as a table in the shared folder."""
-
-    def rows(batches):
-        one, part, pos = codec(tokenizer_path), TaskContext.get().partitionId(), 0
-        width = np.dtype(id_type(len(one.token_bytes)))
-        for batch in batches:
-            out = []
-            for doc, raw in zip(batch.column("id").to_pylist(), raw_rows(batch.column("text"))):
-                ids = np.frombuffer(one.encode(raw), np.int32).astype(width)
-                for no, at in enumerate(range(0, len(ids), seq_len)):
-                    piece = ids[at : at + seq_len]
-                    out.append((part, pos, doc, no, len(piece), piece.tobytes()))
-                    pos += 1
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            for low in range(0, len(out), ROWS):
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[low : low + ROWS]], t) for i, t in enumerate(kinds)], ["part", "pos", "id", "seq_no", "n_tokens", "payload"])
-
-    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    return staged(rows_in.mapInArrow(rows, "part int, pos long, id long, seq_no int, n_tokens int, payload binary"), "sequences")
-
-
 def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def assign_slots(sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
-    """``sequences`` with their global ``slot``, and their number.
+def place_sequences(docs: DataFrame, tokenizer_path: str, key: int, id_col: str = "doc_id", text: str = "text", seq_len: int = SEQ_LEN) -> tuple[DataFrame, int]:
+    """``place, id, seq_no, n_tokens, payload`` of all sequences, and the size of the domain.
 
-    One count for each partition of the staged table reaches the driver, which
-    keeps as much about every task anyway.
+    ``docs`` must be a scan, or a frame that is dealt alike whenever it is computed.
     """
-    counts = sorted(map(tuple, sequences.groupBy("part").count().collect()))
-    ends = np.cumsum([0, *(n for _, n in counts)]).tolist()
-    spark, size = sequences.sparkSession, ends[-1]
-    offsets = spark.createDataFrame([(part, end) for (part, _), end in zip(counts, ends)], "part int, offset long")
+    body = text_or_empty(text)
+    room = F.ceil(F.octet_length(body) / seq_len)
+    sums = sorted(map(tuple, docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(room)).collect()))
+    ends = np.cumsum([0, *(int(n) for _, n in sums)]).tolist()
+    first, size = {part: (ends[i], ends[i + 1]) for i, (part, _) in enumerate(sums)}, ends[-1]
 
-    @F.arrow_udf("long")
-    def slot(index: pa.Array) -> pa.Array:
-        return pa.array(feistel(index.to_numpy(), size, key))
+    def rows(batches):
+        one = codec(tokenizer_path)
+        width = np.dtype(id_type(len(one.token_bytes)))
+        at, end = first.get(TaskContext.get().partitionId(), (0, 0))
+        for batch in batches:
+            out, index = [], []
+            for doc, raw in zip(batch.column("id").to_pylist(), raw_rows(batch.column("text"))):
+                ids = np.frombuffer(one.encode(raw), np.int32).astype(width)
+                for no, low in enumerate(range(0, len(ids), seq_len)):
+                    piece = ids[low : low + seq_len]
+                    out.append((doc, no, len(piece), piece.tobytes()))
+                    index.append(at + no)
+                at += -(-len(raw) // seq_len)
+            if at > end:
+                raise RuntimeError("the documents are dealt otherwise than when they were counted")
+            places = feistel(np.array(index, np.int64), size, key)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            for low in range(0, len(out), ROWS):
+                part = out[low : low + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array(places[low : low + ROWS]), *(pa.array([r[i] for r in part], t) for i, t in enumerate(kinds))], ["place", "id", "seq_no", "n_tokens", "payload"])
+        if at != end:
+            raise RuntimeError("the documents are dealt otherwise than when they were counted")
 
-    numbered = sequences.join(F.broadcast(offsets), "part")
-    return numbered.select("id", "seq_no", "n_tokens", "payload", slot(F.col("offset") + F.col("pos")).alias("slot")), size
+    rows_in = docs.select(F.col(id_col).cast("long").alias("id"), body.alias("text"))
+    return rows_in.mapInArrow(rows, "place long, id long, seq_no int, n_tokens int, payload binary"), size
 
 
 def _open(path: str):
@@ -107,7 +113,7 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def write_shards(sequences: DataFrame, key: int, vocabulary: int, path: str | None = None, seq_len: int = SEQ_LEN, shard_records: int = SHARD_RECORDS) -> DataFrame:
+def write_shards(sequences: DataFrame, size: int, vocabulary: int, path: str | None = None, seq_len: int = SEQ_LEN, shard_places: int = SHARD_PLACES) -> DataFrame:
     """Write the shards; returns their manifest ``(shard, path, first_slot, n_records, n_bytes)``.
 
     A shard is written beside its name and moved there when complete, so that
@@ -115,57 +121,60 @@ def write_shards(sequences: DataFrame, key: int, vocabulary: int, path: str | No
     """
     spark = sequences.sparkSession
     path = path or shared_path(spark, "shards")
-    rows, size = assign_slots(sequences, key)
-    shards = -(-size // shard_records)
+    shards = max(1, -(-size // shard_places))
     width = np.dtype(id_type(vocabulary)).itemsize
 
     def write(batches):
-        store, name, out, shard, n = None, None, None, None, 0
+        store = out = None
+        n = shard = 0
         for batch in batches:
-            for slot, doc, no, length, payload in zip(*(batch.column(c).to_pylist() for c in ("slot", "id", "seq_no", "n_tokens", "payload"))):
+            for place, doc, no, length, payload in zip(*(batch.column(c).to_pylist() for c in ("place", "id", "seq_no", "n_tokens", "payload"))):
                 if out is None:
-                    shard = slot // shard_records
+                    shard = place // shard_places
                     store, root = _open(path)
                     store.create_dir(root, recursive=True)
                     name = f"{root}/shard-{shard:08d}.bin"
                     part = f"{name}.{uuid.uuid4().hex}"
                     out = store.open_output_stream(part)
-                    out.write(struct.pack(HEADER, MAGIC, seq_len, width, shard * shard_records, min(shard_records, size - shard * shard_records)))
+                    out.write(struct.pack(HEADER, MAGIC, seq_len, width, shard * shard_places, shard_places))
                 out.write(struct.pack(RECORD, -1 if doc is None else doc, no, length) + payload.ljust(seq_len * width, b"\0"))
                 n += 1
         if out is not None:
             out.close()
             store.move(part, name)
             total = struct.calcsize(HEADER) + n * (struct.calcsize(RECORD) + seq_len * width)
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, f"{path}/shard-{shard:08d}.bin", shard * shard_records, n, total), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["shard", "path", "first_slot", "n_records", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((shard, f"{path}/shard-{shard:08d}.bin", n, total), (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "n_records", "n_bytes"])
 
-    dealt = rows.withColumn("shard", F.expr(f"cast(slot div {shard_records} as int)"))
-    dealt = dealt.repartitionById(max(1, shards), F.col("shard")).sortWithinPartitions("slot").drop("shard")
-    return staged(dealt.mapInArrow(write, "shard int, path string, first_slot long, n_records long, n_bytes long"), "manifest")
+    dealt = sequences.withColumn("shard", F.expr(f"cast(place div {shard_places} as int)"))
+    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("place").drop("shard")
+    written = staged(dealt.mapInArrow(write, "shard int, path string, n_records long, n_bytes long"), "manifest")
+    before = F.sum("n_records").over(Window.orderBy("shard")) - F.col("n_records")  # a row for each shard
+    return staged(written.select("shard", "path", before.alias("first_slot"), "n_records", "n_bytes"), "manifest")
 
 
 def read_shards(manifest: DataFrame, from_slot: int = 0) -> DataFrame:
     """``slot, shard, id, seq_no, n_tokens, payload`` from ``from_slot`` on, in order within each shard."""
 
     def read(batches):
+        head = struct.calcsize(RECORD)
         for batch in batches:
-            for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist()):
+            for shard, path, first, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "path", "first_slot", "n_records"))):
                 store, name = _open(path)
                 with store.open_input_file(name) as file:
-                    magic, seq_len, width, first, n = struct.unpack(HEADER, file.read(struct.calcsize(HEADER)))
+                    magic, seq_len, width, *_ = struct.unpack(HEADER, file.read(struct.calcsize(HEADER)))
                     if magic != MAGIC:
                         raise ValueError(f"no shard: {path}")
-                    stride, at = struct.calcsize(RECORD) + seq_len * width, max(first, from_slot)
+                    stride, at = head + seq_len * width, max(first, from_slot)
                     file.seek(struct.calcsize(HEADER) + (at - first) * stride)
                     while at < first + n:
                         data = file.read(min(ROWS, first + n - at) * stride)
                         heads = [struct.unpack_from(RECORD, data, k) for k in range(0, len(data), stride)]
-                        bodies = [data[k * stride + struct.calcsize(RECORD) :][: h[2] * width] for k, h in enumerate(heads)]
+                        bodies = [data[k * stride + head : k * stride + head + h[2] * width] for k, h in enumerate(heads)]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.arange(at, at + len(heads))), pa.array([shard] * len(heads), pa.int32()), pa.array([h[0] for h in heads], pa.int64()), pa.array([h[1] for h in heads], pa.int32()), pa.array([h[2] for h in heads], pa.int32()), pa.array(bodies, pa.binary())],
                             ["slot", "shard", "id", "seq_no", "n_tokens", "payload"],
                         )
                         at += len(heads)
 
-    wanted = manifest.where(F.col("first_slot") + F.col("n_records") > from_slot).select("shard", "path")
-    return wanted.repartition("shard").mapInArrow(read, "slot long, shard int, id long, seq_no int, n_tokens int, payload binary")
+    wanted = manifest.where(F.col("first_slot") + F.col("n_records") > from_slot).select("shard", "path", "first_slot", "n_records")
+    return wanted.repartition(max(1, min(wanted.count(), READERS)), "shard").mapInArrow(read, "slot long, shard int, id long, seq_no int, n_tokens int, payload binary")
