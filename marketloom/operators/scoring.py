@@ -252,3 +252,70 @@ def source_permission(rows: DataFrame) -> DataFrame:
     """``allowed, reason`` of sources, first rule first."""
     reason = first_reason([("disabled", ~F.col("enabled")), ("terms_forbid", F.col("terms") == "forbidden"), ("login_required", F.col("login")), ("robots_unknown", F.col("robots").isNull())], "allowed")
     return rows.withColumn("reason", reason).withColumn("allowed", F.col("reason") == "allowed")
+
+
+def keyword_relevance(text, categories: dict[str, tuple[list[str], float]]) -> Column:
+    """0 to 1: per category its share of keywords found, times three, capped at 1, weighted."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    score = F.lit(0.0)
+    for words, weight in categories.values():
+        found = sum((lower.contains(w).cast("int") for w in words), F.lit(0))
+        score = score + F.least(F.lit(1.0), found / len(words) * 3) * weight
+    return F.when(F.trim(lower) == "", 0.0).otherwise(F.least(F.lit(1.0), score))
+
+
+def direction_vote(momentum, consensus, sector, options, volatile, data_quality) -> tuple[Column, Column]:
+    """(prediction, confidence) of the move after an event from five signals."""
+    side = lambda x, limit, points: (F.when(x > limit, points).otherwise(0), F.when(x < -limit, points).otherwise(0))
+    pairs = [side(momentum, 0.05, 2), side(consensus, 0.15, 2), side(sector, 0.02, 1), (F.when(options == "bullish", 1).otherwise(0), F.when(options == "bearish", 1).otherwise(0))]
+    up, down = sum((p[0] for p in pairs), F.lit(0)), sum((p[1] for p in pairs), F.lit(0))
+    flat = lambda p: F.when(p[0] + p[1] == 0, 1).otherwise(0)
+    unsure = flat(pairs[0]) + flat(pairs[1]) + flat(pairs[3]) + F.when(volatile, 2).otherwise(0)
+    mixed = (unsure >= 3) | (F.abs(up - down) <= 1)
+    prediction = F.when(mixed, "Big Swing Unsure").when(up > down, "Up").otherwise("Down")
+    confidence = F.when(mixed, 0.4).otherwise(F.least(F.lit(0.9), 0.5 + F.abs(up - down) * 0.1)) * F.when(data_quality < 0.5, 0.7).otherwise(1.0)
+    return prediction, F.round(confidence, 2)
+
+
+def term_relevance(text, title, name: str, symbol: str, keywords: Sequence[str], reach: int = 100) -> Column:
+    """0 to 1 by mentions, the title, and keywords within ``reach`` characters of a mention."""
+    lower, head = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
+    mentions = F.regexp_count(lower, F.lit(rf"\b{symbol.lower()}\b"))
+    near = F.regexp_extract_all(lower, F.lit(rf"(?s)(.{{0,{reach}}}\b{symbol.lower()}\b.{{0,{reach}}})"), F.lit(1))
+    hits = F.aggregate(near, F.lit(0), lambda n, w: n + sum((w.contains(k).cast("int") for k in keywords), F.lit(0)))
+    boost = F.when(head.contains(symbol.lower()), 0.3).otherwise(0.0) + F.when(head.contains(name.lower()), 0.4).otherwise(0.0)
+    return F.least(F.lit(1.0), F.least(F.lit(1.0), mentions * 0.3) + boost + F.least(F.lit(0.4), hits * 0.1))
+
+
+def experiment_advice(users, rate, base_rate, p_value, effect, least_users: int = 1000) -> Column:
+    """Advice on a finished experiment, all that applies."""
+    lift = F.try_divide(rate - base_rate, base_rate)
+    return content_reasons({
+        "increase_sample_size": users < least_users, "small_effect": F.abs(effect) < 0.2, "large_effect": F.abs(effect) > 0.8, "strong_positive_lift": lift > 0.1, "negative_impact": lift < -0.05,
+        "highly_significant": p_value < 0.01, "significant": (p_value >= 0.01) & (p_value < 0.05), "not_significant": p_value >= 0.05,
+    })
+
+
+def overall_quality(parts: dict[str, tuple[Column, float]], weak: float = 0.4, strong: float = 0.8) -> dict[str, Column]:
+    """``overall`` (weighted), ``issues`` and ``strengths`` (parts below and above a limit)."""
+    total = F.lit(0.0)
+    for value, weight in parts.values():
+        total = total + value * weight
+    return {"overall": total, "issues": content_reasons({n: v < weak for n, (v, _) in parts.items()}), "strengths": content_reasons({n: v > strong for n, (v, _) in parts.items()})}
+
+
+def quality_summary(rows: DataFrame, top: int = 5) -> DataFrame:
+    """Mean, population deviation, extremes and the most frequent issues of ``overall, issues``."""
+    often = rows.select(F.explode("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "issue").limit(top)
+    listed = often.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "issue"))), lambda x: x["issue"]).alias("top_issues"))
+    return rows.agg(F.count("*").alias("n"), F.avg("overall").alias("mean"), F.stddev_pop("overall").alias("std"), F.min("overall").alias("low"), F.max("overall").alias("high")).join(F.broadcast(listed))
+
+
+def briefing_packets(events: DataFrame, change: DataFrame) -> DataFrame:
+    """One packet per ticker and event: days active, sources, the change of sentiment, what is uncertain.
+
+    ``events``: ``ticker, event, day, source, confidence``; ``change``: ``ticker, change``.
+    """
+    out = events.groupBy("ticker", "event").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.countDistinct("day").alias("days_active"), F.array_sort(F.collect_set("source")).alias("sources"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    out = out.join(change.select("ticker", "change"), "ticker", "left")
+    return out.withColumn("uncertainty", content_reasons({"single_source": F.size("sources") == 1, "low_confidence": F.coalesce("confidence", F.lit(0.0)) < 0.5, "no_prior_sentiment": F.col("change").isNull()}))

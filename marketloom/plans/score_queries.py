@@ -178,3 +178,47 @@ def operational_alerts(spark, sf_dir):
 def token_estimates(spark, sf_dir):
     tokens, _ = sc.token_estimate(F.col("text"), 3.0)
     return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
+
+
+_WORDS = {"companies": (["the", "hand"], 0.4), "markets": (["und", "der"], 0.3), "economics": (["ción", "del"], 0.2), "crypto": (["que"], 0.1)}
+
+
+def _category(words, weight) -> str:
+    return "least(1.0, (" + " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in words) + f") / {len(words)}.0 * 3) * {weight}"
+
+
+@query("WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE round(CAST(least(1.0, " + " + ".join(_category(w, x) for w, x in _WORDS.values()) + ") AS DOUBLE), 6) END AS relevance FROM d")
+def keyword_relevance(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", r(sc.keyword_relevance(F.col("text"), _WORDS)).alias("relevance"))
+
+
+@query("""WITH s AS (SELECT event_id, CASE WHEN value > 15 THEN 2 ELSE 0 END + CASE WHEN user_id % 5 > 3 THEN 2 ELSE 0 END + CASE WHEN user_id % 3 = 2 THEN 1 ELSE 0 END + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS up,
+  CASE WHEN value < 5 THEN 2 ELSE 0 END + CASE WHEN user_id % 5 < 1 THEN 2 ELSE 0 END + CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS down,
+  CASE WHEN value <= 15 AND value >= 5 THEN 1 ELSE 0 END + CASE WHEN user_id % 5 BETWEEN 1 AND 3 THEN 1 ELSE 0 END + CASE WHEN event_type NOT IN ('click', 'view') THEN 1 ELSE 0 END + CASE WHEN user_id % 7 = 0 THEN 2 ELSE 0 END AS unsure FROM events)
+  SELECT event_id, CASE WHEN unsure >= 3 OR abs(up - down) <= 1 THEN 'Big Swing Unsure' WHEN up > down THEN 'Up' ELSE 'Down' END AS prediction, CASE WHEN unsure >= 3 OR abs(up - down) <= 1 THEN 0.4 ELSE least(0.9, round(0.5 + abs(up - down) * 0.1, 2)) END AS confidence FROM s""")
+def direction_votes(spark, sf_dir):
+    u, v, t = F.col("user_id"), F.col("value"), F.col("event_type")
+    prediction, confidence = sc.direction_vote((v - 10) / 100, (u % 5 - 2) * 0.1, (u % 3 - 1) * 0.05, F.when(t == "click", "bullish").when(t == "view", "bearish").otherwise("none"), u % 7 == 0, F.lit(1.0))
+    return table(spark, sf_dir, "events").select("event_id", prediction.alias("prediction"), confidence.alias("confidence"))
+
+
+@query("""WITH e AS (SELECT 't' || CAST(user_id % 30 AS VARCHAR) AS ticker, event_type AS event, CAST(ts AS DATE) AS day, CAST(user_id AS VARCHAR) AS source, (user_id % 10) / 10.0 AS confidence FROM events), c AS (SELECT 't' || CAST(user_id % 30 AS VARCHAR) AS ticker FROM events WHERE user_id % 30 < 20 GROUP BY 1)
+  SELECT e.ticker, event, min(day) AS first_day, max(day) AS last_day, count(DISTINCT day) AS days_active, count(*) AS n, list_filter([CASE WHEN count(DISTINCT source) = 1 THEN 'single_source' END, CASE WHEN max(confidence) < 0.5 THEN 'low_confidence' END, CASE WHEN any_value(c.ticker) IS NULL THEN 'no_prior_sentiment' END], lambda x: x IS NOT NULL) AS uncertainty FROM e LEFT JOIN c ON e.ticker = c.ticker GROUP BY 1, 2""")
+def briefing_packets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 30).cast("string")).alias("ticker"), (F.col("user_id") % 30).alias("k"), F.col("event_type").alias("event"), F.to_date("ts").alias("day"), F.col("user_id").cast("string").alias("source"), (F.col("user_id") % 10 / 10).alias("confidence"))
+    change = e.where("k < 20").select("ticker", F.lit(0.1).alias("change")).distinct()
+    return sc.briefing_packets(e, change).select("ticker", "event", "first_day", "last_day", "days_active", "n", "uncertainty")
+
+
+@query("""WITH q AS (SELECT doc_id, least(1.0, n_chars / 5000.0) AS size, CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.3 ELSE 0.6 END AS lang FROM documents), o AS (SELECT CAST(size AS DOUBLE) * 0.7 + CAST(lang AS DOUBLE) * 0.3 AS overall, size < 0.4 AS s, lang < 0.4 AS l FROM q),
+  t AS (SELECT * FROM (VALUES ('size', (SELECT count(*) FROM o WHERE s)), ('language', (SELECT count(*) FROM o WHERE l))) AS v(issue, n) WHERE n > 0)
+  SELECT count(*) AS n, round(avg(overall), 5) AS mean, round(stddev_pop(overall), 5) AS std, (SELECT list(issue ORDER BY n DESC, issue) FROM t) AS top_issues FROM o""")
+def quality_summary(spark, sf_dir):
+    size, lang = F.least(F.lit(1.0), F.col("n_chars") / 5000), F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.3).otherwise(0.6)
+    rows = table(spark, sf_dir, "documents").withColumns(sc.overall_quality({"size": (size, 0.7), "language": (lang, 0.3)}))
+    return sc.quality_summary(rows).select("n", r("mean", 5).alias("mean"), r("std", 5).alias("std"), "top_issues")
+
+
+@query()
+def term_relevance(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", r(sc.term_relevance(F.col("text"), F.substring("text", 1, 80), "hand", "one", ["the", "thing"])).alias("relevance"))
