@@ -226,4 +226,5 @@ def headline_clusters(spark, sf_dir):
 def fuzzy_greedy_match(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
     rows = docs.select(F.col("doc_id").alias("id"), F.concat_ws(":", "lang", F.split("text", " ")[0]).alias("ticker"), tx.normalized_title(F.substring("text", 1, 60)).alias("title"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).alias("day"), F.array(F.coalesce("lang", F.lit(""))).alias("meta"))
-    return ev.fuzzy_greedy_match(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), lookback_days=14)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return ev.fuzzy_greedy_match(rows.join(labelled, "id", "left_semi"), rows.join(labelled, "id", "left_anti"), lookback_days=14)

@@ -30,21 +30,21 @@ def latest_upsert(spark, sf_dir):
     return rel.first_by(rows, ["l_orderkey", "l_linenumber"], [F.desc("l_shipdate"), F.desc("l_partkey"), F.desc("l_suppkey"), F.desc("l_extendedprice")]).select("l_orderkey", "l_linenumber", "l_shipdate")
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, c_acctbal AS v, 1 AS ver FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT c_custkey AS k, -c_acctbal AS v, 2 AS ver FROM customer WHERE c_custkey % 2 = 0)
-  SELECT k, v, CAST(ver AS INTEGER) AS ver FROM d UNION ALL SELECT k, v, CAST(ver AS INTEGER) FROM c WHERE k NOT IN (SELECT k FROM d)""")
+@query("""WITH d AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1)
+  SELECT k, v, 2 AS ver FROM d UNION ALL SELECT c_custkey, c_acctbal, 1 FROM customer WHERE c_custkey NOT IN (SELECT k FROM d)""")
 def batch_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
-    current = rows.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(1).alias("ver"))
-    changes = rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("v"), F.lit(2).alias("ver"))
+    """Customers with their balance, updated by the largest order of those that have any."""
+    current = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(1).alias("ver"))
+    changes = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v")).withColumn("ver", F.lit(2))
     return rel.upsert(current, changes, ["k"], "ver")
 
 
-@query("""WITH c AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 <> 0), d AS (SELECT c_custkey AS k, -c_acctbal AS v FROM customer WHERE c_custkey % 2 = 0)
-  SELECT k, v FROM c UNION ALL SELECT k, v FROM d WHERE k NOT IN (SELECT k FROM c)""")
+@query("""WITH c AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1)
+  SELECT k, v FROM c UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT k FROM c)""")
 def insert_or_ignore(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer")
-    current = rows.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    changes = rows.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), (-F.col("c_acctbal")).alias("v"))
+    """The largest order of each customer, joined by the balance of those without one."""
+    current = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("v"))
+    changes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     return rel.insert_or_ignore(current, changes, ["k"], [F.asc("v")])
 
 
