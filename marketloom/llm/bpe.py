@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import raw_rows, text_or_empty
+from marketloom.llm.common import raw_rows, small_batches, text_or_empty
 
 #: Least length of a fragment, and how far one look for a cut reaches (both in bytes).
 FRAGMENT, BLOCK = 1024, 256
@@ -172,9 +172,11 @@ def decode_ids(ids, tokenizer_path: str):
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the column ``ids``; a map, without any shuffle."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(ids, encode_ids(text, tokenizer_path))
 
 
 def decode_documents(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``encoded`` with the column ``text`` that its ids stand for."""
+    small_batches(encoded.sparkSession)
     return encoded.withColumn(text, decode_ids(ids, tokenizer_path))

@@ -45,6 +45,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once at most; whole texts are long.
+BATCH_ROWS = 512
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python tasks get in this session."""
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS or int(spark.conf.get(BATCH_CONF)) <= 0:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def text_or_empty(column) -> F.Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

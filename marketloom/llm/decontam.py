@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import gram_hashes, staged, word_ids
+from marketloom.llm.common import gram_hashes, small_batches, staged, word_ids
 
 GRAM = 3
 #: Different seeds that a document must share with an item to be aligned (fewer, if the item has fewer).
@@ -166,6 +166,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``threshold`` and 1. Benchmarks of any size go in blocks of items, each
     with GRAMS_PER_PASS grams at most on average.
     """
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), tokenised(benchmark, item_text).alias("words"))
     items = staged(items.dropDuplicates(["item", "words"]), "benchmark-items")

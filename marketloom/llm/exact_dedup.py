@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketloom.llm.common import mix64, raw_rows, staged, text_or_empty
+from marketloom.llm.common import mix64, raw_rows, small_batches, staged, text_or_empty
 
 #: Chunks have about AVERAGE bytes beyond LEAST, and MOST at most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
@@ -80,6 +80,7 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     pair of id and text; ``recipe`` lists chunk identifiers in order.
     ``dictionary``: ``sha, check, n, n_uses, chunk_id``, a row for each chunk.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(F.encode(text_or_empty(text), "UTF-8"), 256).alias("text_sha256"), F.posexplode_outer(chunk_digests(text)).alias("pos", "chunk"))
     uses = staged(rows.select("id", "text_sha256", "pos", "chunk.sha", "chunk.check", "chunk.n"), "chunk-uses")
     key = ["sha", "check", "n"]

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import small_batches
+
 UNDETERMINED = "und"
 BUCKET_BITS = 16
 GRAMS = (1, 2, 3)
@@ -90,6 +92,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id_col: st
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(n[at])], ["lang", "bucket", "n"])
 
+    small_batches(labelled.sparkSession)
     known = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("lang"))
     sample = bounded_sample(known, "id", max_docs).select("text", "lang")
     table = sample.mapInArrow(counts, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
@@ -119,6 +122,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A map without any shuffle; the matrix is broadcast, its size bounded by
     the number of languages.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang_pred:string,score:double>")

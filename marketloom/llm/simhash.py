@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import raw_rows, staged, text_or_empty
+from marketloom.llm.common import raw_rows, small_batches, staged, text_or_empty
 from marketloom.llm.graph import connected_components
 
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the Golay code.
@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     reaches only through their own; rows without an id link nothing and have
     no component of their own but that of their fingerprint.
     """
+    small_batches(docs.sparkSession)
     prints = staged(docs.select(F.col(id_col).alias("id"), fingerprint(text, shingle).alias("fp")), "fingerprints")
     least = staged(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
     # components are sought between distinct fingerprints, shifted to a dense order of no meaning

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import gram_hashes, raw_rows, sliding_min, staged, text_or_empty, word_ids
+from marketloom.llm.common import gram_hashes, raw_rows, sliding_min, small_batches, staged, text_or_empty, word_ids
 
 WINDOW = 50
 ANCHOR = 20
@@ -233,6 +233,7 @@ def remove_spans(text, spans):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with ``kept_text``, ``n_words`` and ``n_removed``; words are what ASCII white space separates."""
     own = [c for c in docs.columns if c not in ("kept_text", "n_words", "n_removed")]
+    small_batches(docs.sparkSession)
     whole = text_or_empty(text)
     rows = docs.select(*own, F.col(id_col).cast("long").alias("__id"), F.xxhash64(whole).alias("__th"))
     spans = repeated_spans(docs.select(F.col(id_col).cast("long").alias("id"), whole.alias("text")).withColumn("th", F.xxhash64("text")), window)

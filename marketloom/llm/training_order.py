@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from marketloom.llm.bpe import codec
-from marketloom.llm.common import mix64, raw_rows, shared_path, staged, text_or_empty
+from marketloom.llm.common import mix64, raw_rows, shared_path, small_batches, staged, text_or_empty
 
 SEQ_LEN = 512
 #: Places of one shard; with some 0.4 tokens a byte about that share of them are records.
@@ -74,6 +74,7 @@ def place_sequences(docs: DataFrame, tokenizer_path: str, key: int, id_col: str
 
     ``docs`` must be a scan, or a frame that is dealt alike whenever it is computed.
     """
+    small_batches(docs.sparkSession)
     body = text_or_empty(text)
     room = F.ceil(F.octet_length(body) / seq_len)
     sums = sorted(map(tuple, docs.groupBy(F.spark_partition_id().alias("part")).agg(F.sum(room)).collect()))
