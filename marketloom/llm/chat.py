@@ -74,8 +74,8 @@ def root_to_leaf_paths(nodes: DataFrame, top: int | None = 1) -> DataFrame:
     seen = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
         jump = jumps[k].withColumnRenamed("up", "to")
-        seen = seen.union(seen.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up")))
-    seen = staged(seen, "ancestors")
+        further = seen.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        seen = staged(seen.union(further), "ancestors")  # else the plan doubles with each round
     scored = seen.join(linked.select("tree", "node", "score"), ["tree", "node"])
     paths = scored.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("up", "node")))), lambda x: x["node"]).alias("path"))
     ranked = paths.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
