@@ -452,3 +452,13 @@ def test_pipeline_is_its_stages(spark, tokenizer):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == set(want)
     assert all(got[d] == tokenizer.encode(t, add_special_tokens=False).ids for d, t in want.items())
+
+
+def test_exact_stage_keeps_repeated_rows_once(spark):
+    import corpus_pipeline
+
+    rows = [(1, "same"), (1, "same"), (2, "twice"), (2, "twice"), (3, "twice"), (4, "alone"), (4, "copied"), (5, "copied"), (None, "copied"), (None, "no id"), (None, "no id"), (6, None), (7, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.exact_dedup_stage(spark, docs, SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    assert rows_of(got, "doc_id", "text") == sorted([(1, "same"), (3, "twice"), (4, "alone"), (5, "copied"), (None, "no id"), (7, "")], key=repr)
