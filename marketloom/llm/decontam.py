@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Grams of so many words that test items and documents have in common are found
-in one pass over the documents, which emits the passages around them. Counted
-over all of the corpus, those that are common for their item (far above its
-median) seed nothing; the rest join passages to items. Each candidate is
-aligned word by word, so that copies with changed, added or missing words are
-scored as a whole.
+in one pass over the documents, which cuts out the passages around them. Every
+item that shares a gram with a passage is a candidate, however common the gram
+is. A bound that no alignment can exceed drops candidates; the rest are aligned
+word by word, so that copies with changed, added or missing words are scored
+as a whole. A task aligns equal passages once.
 
 Words are runs of letters and digits, lower-cased; null texts have none. Items
 with fewer words than a gram have no seed and match nothing. Repeated items
@@ -15,6 +15,9 @@ are lists of links; a document without one has no row.
 
 from __future__ import annotations
 
+import hashlib
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,18 +26,16 @@ from pyspark.sql import functions as F
 from marketloom.llm.common import gram_hashes, small_batches, staged, word_ids
 
 GRAM = 3
-#: Different seeds that a document must share with an item to be aligned (fewer, if the item has fewer).
-MIN_SEEDS = 2
-#: A seed is found this many times as often as its item's median gram, or MIN_COMMON times, at most.
-COMMON, MIN_COMMON = 8, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: The least share of an item's best possible score that is a leak.
 THRESHOLD = 0.5
-#: Grams of test items that one pass looks for (8 bytes each, broadcast); more take more passes.
+#: Words and grams of test items that one pass looks for (about 30 bytes each, broadcast); more take more passes.
 GRAMS_PER_PASS = 4_000_000
 #: Words of context at each end of a passage beyond what its item can need.
 SLACK = 8
 ROWS = 1 << 12
+#: Passages whose leaks a task remembers.
+MEMO = 1 << 14
 _SEPARATORS = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
 
@@ -53,44 +54,96 @@ def tokenised(items: DataFrame, text: str = "text"):
     return ids(F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _item_grams(items: DataFrame, gram: int) -> DataFrame:
-    @F.arrow_udf("array<long>")
-    def grams(column: pa.Array) -> pa.Array:
-        return pa.array([np.unique(gram_hashes(np.array(x.as_py(), np.int64).view(np.uint64), gram).view(np.int64)) for x in column], pa.list_(pa.int64()))
-
-    return items.select("item", F.explode(grams("words")).alias("gram"))
-
-
-def _passages(docs: DataFrame, wanted, reach: int, gram: int) -> DataFrame:
-    """``id, at, words, grams``: the passages around grams that test items have."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+class Index(NamedTuple):
+    """Test items: their names, their words one after another, and the items of each gram."""
+
+    names: pa.Array
+    words: np.ndarray  # uint64
+    ends: np.ndarray  # int64[items + 1]
+    grams: np.ndarray  # uint64, sorted and distinct
+    first: np.ndarray  # int64[grams + 1]
+    owners: np.ndarray  # int32
+
+    def words_of(self, item: int) -> np.ndarray:
+        return self.words[self.ends[item] : self.ends[item + 1]]
+
+
+def index_of(items: DataFrame, gram: int) -> Index:
+    table = items.select("item", "words").toArrow().combine_chunks()
+    words = table["words"].combine_chunks()
+    flat = words.flatten().to_numpy().astype(np.int64, copy=False).view(np.uint64)
+    sizes = words.value_lengths().to_numpy().astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    each = [np.unique(gram_hashes(flat[a:b], gram)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    grams = np.concatenate([np.zeros(0, np.uint64), *each])
+    owners = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
+    order = np.argsort(grams, kind="stable")
+    known, first = np.unique(grams[order], return_index=True)
+    return Index(table["item"].combine_chunks(), flat, ends, known, np.append(first, len(grams)), owners[order])
+
+
+def bound(item: np.ndarray, passage: np.ndarray) -> int:
+    """What no local alignment exceeds: a passage's word that it covers gains MATCH if the item has it, else loses."""
+    total = np.concatenate(([0], np.cumsum(np.where(np.isin(passage, item), MATCH, max(MISMATCH, GAP)))))
+    return min(MATCH * len(item), int((total - np.minimum.accumulate(total)).max()))
+
+
+def leaks_of(index: Index, passage: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple]:
+    """``(item, score, first, last, n_seeds)`` of the items that a passage leaks; ``grams`` are the numbers of its grams."""
+    owners = np.concatenate([index.owners[a:b] for a, b in zip(index.first[grams].tolist(), index.first[grams + 1].tolist())])
+    out = []
+    for item, n in zip(*(x.tolist() for x in np.unique(owners, return_counts=True))):
+        words = index.words_of(item)
+        if bound(words, passage) < threshold * MATCH * len(words):
+            continue
+        score, first, last = align(words, passage)
+        if score >= threshold * MATCH * len(words):
+            out.append((item, score / (MATCH * len(words)), first, last, n))
+    return out
+
+
+def _leaks(docs: DataFrame, items: DataFrame, gram: int, threshold: float) -> DataFrame:
+    """``id, item, score, at, n_words, n_seeds`` of all leaks of ``items`` (item, words) in passages of ``docs`` (id, text)."""
+    index = index_of(items, gram)
+    reach = int(np.diff(index.ends).max(initial=0)) + SLACK
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def rows(batches):
-        grams = shared.value
+        known, seen = shared.value, {}
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 ids = words_of((text.as_py() or "").encode())
                 found = gram_hashes(ids, gram)
-                place = np.minimum(np.searchsorted(grams, found), len(grams) - 1)
-                hits = np.flatnonzero(grams[place] == found)
+                if not len(known.grams) or not len(found):
+                    continue
+                place = np.minimum(np.searchsorted(known.grams, found), len(known.grams) - 1)
+                hits = np.flatnonzero(known.grams[place] == found)
                 if not len(hits):
                     continue
                 # hits further apart than an item is long belong to different passages
                 for run in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1):
                     low, high = max(0, int(run[0]) - reach), int(run[-1]) + gram + reach
-                    out.append((doc, low, ids[low:high].view(np.int64), np.unique(found[run]).view(np.int64)))
+                    key = hashlib.blake2b(ids[low:high].tobytes(), digest_size=16).digest()
+                    if key not in seen:
+                        if len(seen) >= MEMO:
+                            seen.clear()
+                        seen[key] = leaks_of(known, ids[low:high], np.unique(place[run]), threshold)
+                    out += [(doc, item, score, low + first, last - first, n) for item, score, first, last, n in seen[key]]
                 if len(out) >= ROWS:
-                    yield _batch(out)
+                    yield _batch(out, known.names)
                     out = []
-            yield _batch(out)
+            yield _batch(out, known.names)
 
-    return docs.mapInArrow(rows, "id long, at int, words array<long>, grams array<long>")
+    kind = items.schema["item"].dataType.simpleString()
+    return docs.mapInArrow(rows, f"id long, item {kind}, score double, at int, n_words int, n_seeds long")
 
 
-def _batch(rows) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["id", "at", "words", "grams"])
+def _batch(rows, names: pa.Array) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64())
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
+    columns[1] = names.take(columns[1])
+    return pa.RecordBatch.from_arrays(columns, ["id", "item", "score", "at", "n_words", "n_seeds"])
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -123,42 +176,6 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def aligned(item_words, words):
-    """Column ``struct<score: double, first: int, last: int>``; the score is a share of the item's best."""
-
-    @F.arrow_udf("struct<score:double,first:int,last:int>")
-    def go(items: pa.Array, passages: pa.Array) -> pa.Array:
-        got = []
-        for a, b in zip(items, passages):
-            a, b = a.values.to_numpy(), b.values.to_numpy()
-            score, first, last = align(a, b)
-            got.append((score / (MATCH * max(1, len(a))), first, last))
-        return pa.StructArray.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.float64(), pa.int32(), pa.int32()))], ["score", "first", "last"])
-
-    return go(item_words, words)
-
-
-def _leaks(docs: DataFrame, items: DataFrame, gram: int) -> DataFrame:
-    """Scores of all candidates between ``docs`` (id, text) and ``items`` (item, words)."""
-    grams = staged(_item_grams(items, gram), "item-grams")
-    wanted = np.unique(grams.select("gram").distinct().toArrow()["gram"].to_numpy()).view(np.uint64)
-    wanted.sort()
-    reach = (items.agg(F.max(F.size("words"))).head()[0] or 0) + SLACK
-    if not len(wanted):
-        wanted = np.zeros(1, np.uint64)
-    passages = staged(_passages(docs, wanted, reach, gram), "passages")
-    found = passages.select("id", "at", F.explode("grams").alias("gram"))
-    often = found.groupBy("gram").agg(F.count("*").alias("n_found"))
-    known = grams.join(often, "gram")
-    usual = known.groupBy("item").agg(F.percentile("n_found", F.lit(0.5)).alias("usual"))
-    seeds = known.join(usual, "item").where(F.col("n_found") <= F.greatest(F.col("usual") * COMMON, F.lit(MIN_COMMON))).select("gram", "item")
-    enough = seeds.groupBy("item").agg(F.least(F.count("*"), F.lit(MIN_SEEDS)).alias("need"))
-    met = found.join(seeds, "gram").groupBy("id", "at", "item").agg(F.count("*").alias("n_seeds"))
-    met = met.join(enough, "item").where("n_seeds >= need").drop("need")
-    pairs = met.join(passages.select("id", "at", "words").dropDuplicates(["id", "at"]), ["id", "at"]).join(items.select("item", F.col("words").alias("item_words")), "item")
-    return pairs.select("id", "item", "at", "n_seeds", aligned(F.col("item_words"), F.col("words")).alias("x"))
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
     """``(id, item, score, first_word, n_words, n_seeds)``: each document and test item it leaks, once.
 
@@ -175,9 +192,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     leaks = None
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        more = _leaks(rows, block, gram)
+        more = _leaks(rows, block, gram, threshold)
         leaks = more if leaks is None else leaks.union(more)
-    best = leaks.where(F.col("x.score") >= threshold).groupBy("id", "item").agg(F.max(F.struct("x.score", (-F.col("at") - F.col("x.first")).alias("early"), (F.col("x.last") - F.col("x.first")).alias("n_words"), "n_seeds")).alias("b"))
+    best = leaks.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("at")).alias("early"), "n_words", "n_seeds")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("b.score", 6).alias("score"), (-F.col("b.early")).cast("int").alias("first_word"), "b.n_words", "b.n_seeds")
 
 

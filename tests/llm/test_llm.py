@@ -462,3 +462,22 @@ def test_exact_stage_keeps_repeated_rows_once(spark):
     got = corpus_pipeline.exact_dedup_stage(spark, docs, SF)
     assert got.columns == corpus_pipeline.COLUMNS
     assert rows_of(got, "doc_id", "text") == sorted([(1, "same"), (3, "twice"), (4, "alone"), (5, "copied"), (None, "no id"), (7, "")], key=repr)
+
+
+def test_decontamination_finds_items_however_often_they_leak(spark):
+    rng = random.Random(12)
+    noise = lambda n: [f"n{rng.randrange(3000)}" for _ in range(n)]
+    item = [f"q{i}" for i in range(40)]
+    edited = [w if i % 4 < 3 else f"x{i}" for i, w in enumerate(item)]
+    docs = [(d, " ".join(noise(60) + (edited if d else item) + noise(60))) for d in range(101)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.contaminated(df, benchmark).collect()}
+    assert got == {d: 0.6375 if d else 1.0 for d in range(101)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=9), st.lists(st.integers(0, 9), max_size=20))
+def test_no_alignment_exceeds_its_bound(item, passage):
+    a, b = np.array(item), np.array(passage, np.int64)
+    assert decontam.align(a, b)[0] <= decontam.bound(a, b)
