@@ -202,6 +202,19 @@ def test_minhash_finds_near_copies(spark):
     assert [(r.a, r.b) for r in dd.minhash_links(rows, "id", "text").collect()] == [(1, 2)]
 
 
+def test_minhash_links_beyond_the_first_of_a_band(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = [[f"x{rng.randrange(10**9)}" if rng.random() < 0.07 else w for w in base] for _ in range(60)]
+    ids = [(i, t) for i, t in enumerate(texts)] + [(100 + i, [*t[:-1], "end"]) for i, t in enumerate(texts)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in ids], "id long, text string")
+    links = dd.minhash_links(rows, "id", "text", permutations=4, bands=4).collect()  # so few bands are full of other variants
+    sets = {i: {tuple(t[k : k + 3]) for k in range(198)} for i, t in ids}
+    for r in links:
+        assert r.a < r.b and abs(r.jaccard - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-9 and r.jaccard >= 0.8
+    assert len(links) == len({(r.a, r.b) for r in links}) and {(i, 100 + i) for i in range(60)} <= {(r.a, r.b) for r in links}
+
+
 def test_cluster_confidence(spark):
     members = spark.createDataFrame([(1, "a", 1.0), (1, "b", 0.0), (1, "c", 0.5), (2, "a", 1.0)], "cluster long, source string, sentiment double").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     rep = spark.createDataFrame([("a", 1.0)], "source string, weight double")
