@@ -481,3 +481,10 @@ def test_decontamination_finds_items_however_often_they_leak(spark):
 def test_no_alignment_exceeds_its_bound(item, passage):
     a, b = np.array(item), np.array(passage, np.int64)
     assert decontam.align(a, b)[0] <= decontam.bound(a, b)
+
+
+def test_language_stage_without_labels_passes_all(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None, "s", 1), (2, "123", None, "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows_of(corpus_pipeline.language_id(spark, docs, SF), "doc_id") == [(1,), (2,)]
