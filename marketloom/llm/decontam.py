@@ -8,8 +8,8 @@ word by word, so that copies with changed, added or missing words are scored
 as a whole. A task aligns equal passages once.
 
 Words are runs of letters and digits, lower-cased; null texts have none. Items
-with fewer words than a gram have no seed and match nothing. Repeated items
-are told apart by their id, repeated rows of documents share a result. Hits
+with fewer words than a gram are found whole only; those without words match
+nothing. Repeated items are told apart by their id, repeated rows of documents share a result. Hits
 are lists of links; a document without one has no row.
 """
 
@@ -63,6 +63,7 @@ class Index(NamedTuple):
     grams: np.ndarray  # uint64, sorted and distinct
     first: np.ndarray  # int64[grams + 1]
     owners: np.ndarray  # int32
+    short: dict  # size below a gram's: sorted hashes of whole items, and the items
 
     def words_of(self, item: int) -> np.ndarray:
         return self.words[self.ends[item] : self.ends[item + 1]]
@@ -77,9 +78,15 @@ def index_of(items: DataFrame, gram: int) -> Index:
     each = [np.unique(gram_hashes(flat[a:b], gram)) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
     grams = np.concatenate([np.zeros(0, np.uint64), *each])
     owners = np.repeat(np.arange(len(each), dtype=np.int32), [len(x) for x in each])
-    order = np.argsort(grams, kind="stable")
+    order, short = np.argsort(grams, kind="stable"), {}
+    for k in range(1, gram):
+        few = np.flatnonzero(sizes == k).astype(np.int32)
+        if len(few):
+            whole = np.array([gram_hashes(flat[a : a + k], k)[0] for a in ends[few].tolist()], np.uint64)
+            by_hash = np.argsort(whole, kind="stable")
+            short[k] = (whole[by_hash], few[by_hash])
     known, first = np.unique(grams[order], return_index=True)
-    return Index(table["item"].combine_chunks(), flat, ends, known, np.append(first, len(grams)), owners[order])
+    return Index(table["item"].combine_chunks(), flat, ends, known, np.append(first, len(grams)), owners[order], short)
 
 
 def bound(item: np.ndarray, passage: np.ndarray) -> int:
@@ -88,6 +95,16 @@ def bound(item: np.ndarray, passage: np.ndarray) -> int:
     return min(MATCH * len(item), int((total - np.minimum.accumulate(total)).max()))
 
 
+def short_leaks(index: Index, ids: np.ndarray):
+    """``(item, score, first, n_words, n_seeds)`` of the items shorter than a gram that stand in a text, the first place of each."""
+    for k, (whole, items) in index.short.items():
+        found, place = np.unique(gram_hashes(ids, k), return_index=True)
+        low, high = np.searchsorted(whole, found, "left"), np.searchsorted(whole, found, "right")
+        for at in np.flatnonzero(high > low).tolist():
+            for item in items[low[at] : high[at]].tolist():
+                yield item, 1.0, int(place[at]), k, 1
+
+
 def leaks_of(index: Index, passage: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple]:
     """``(item, score, first, last, n_seeds)`` of the items that a passage leaks; ``grams`` are the numbers of its grams."""
     owners = np.concatenate([index.owners[a:b] for a, b in zip(index.first[grams].tolist(), index.first[grams + 1].tolist())])
@@ -114,6 +131,7 @@ def _leaks(docs: DataFrame, items: DataFrame, gram: int, threshold: float) -> Da
             out = []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 ids = words_of((text.as_py() or "").encode())
+                out += [(doc, *x) for x in short_leaks(known, ids)]
                 found = gram_hashes(ids, gram)
                 if not len(known.grams) or not len(found):
                     continue
