@@ -6,9 +6,15 @@ the task: a dictionary gives each distinct chunk an identifier, verified by
 length and two independent strong digests, and texts are equal when their
 ordered lists of identifiers are. Long documents are never moved.
 
+Chunks that very many texts hold, and recipes of very many copies, are dealt
+over many tasks where they are joined.
+
 A null text is the empty one, whose recipe is the empty list. Repeated rows
 (same id, same text) count one by one; the first of them stays at most. Rows
-with a null id stay only if their group has no other id at all.
+with a null id stay only if their group has no other id at all. Very long
+texts are lists of many chunks of bounded size. Only the id and the text are
+read, so other columns, whatever their names, do not matter; an empty table
+has an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketloom.llm.common import mix64, raw_rows, small_batches, staged, text_or_empty
+from marketloom.llm.common import join_groups, mix64, raw_rows, small_batches, staged, text_or_empty
 
 #: Chunks have about AVERAGE bytes beyond LEAST, and MOST at most.
 LEAST, AVERAGE, MOST = 512, 2048, 16384
@@ -87,21 +93,32 @@ def chunk_recipes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     # chunks that share the short hash, hardly ever more than one, are told apart by a number
     same = Window.partitionBy("short").orderBy(*key)
     dictionary = uses.where("sha is not null").groupBy(*key).agg(F.count("*").alias("n_uses")).withColumn("short", F.xxhash64(*key))
-    dictionary = dictionary.select(*key, "n_uses", F.struct("short", F.row_number().over(same).alias("nth")).alias("chunk_id"))
-    named = uses.join(dictionary.select(*key, "chunk_id"), key, "left")
+    dictionary = staged(dictionary.select(*key, "n_uses", F.struct("short", F.row_number().over(same).alias("nth")).alias("chunk_id")), "chunk-dictionary")
+    own = ["id", "text_sha256", "pos"]
+    named = join_groups(uses.where("sha is not null"), dictionary, key, "n_uses", own).select(*own, "chunk_id")
+    empty = uses.where("sha is null").select(*own, F.lit(None).cast(dictionary.schema["chunk_id"].dataType).alias("chunk_id"))
     listed = F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), F.struct("pos", "chunk_id"))))
-    recipes = named.groupBy("id", "text_sha256").agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n_rows"), listed.alias("steps"))
+    recipes = named.union(empty).groupBy("id", "text_sha256").agg(F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("n_rows"), listed.alias("steps"))
     return recipes.select("id", "text_sha256", "n_rows", F.transform("steps", lambda x: x["chunk_id"]).alias("recipe")), dictionary
 
 
+def recipe_groups(recipes: DataFrame) -> DataFrame:
+    """``recipe_sha, keep_id, group_size, n_recipes`` of the equal recipes; lists filed under one digest are compared in full."""
+    found = recipes.groupBy("recipe_sha").agg(F.max("id").alias("keep_id"), F.sum("n_rows").alias("group_size"), F.count("*").alias("n_recipes"), F.min("recipe").alias("low"), F.max("recipe").alias("high"))
+    return found.where(F.when(F.col("low") == F.col("high"), True).otherwise(F.raise_error(F.concat(F.lit("unequal recipes of one digest: "), "recipe_sha")).cast("boolean"))).drop("low", "high")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, keep_id, group_size, kept, text_sha256)``, a row for each row of ``docs``.
 
     Of equal texts the row with the largest id stays. Groups are made by
     partial sums, so a text that a third of all rows share is no hot key.
     """
-    recipes = staged(chunk_recipes(docs, id_col, text)[0], "recipes")
-    groups = recipes.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.sum("n_rows").alias("group_size"))
-    rows = recipes.join(groups, "recipe").select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("nth", "_"))
+    recipes = chunk_recipes(docs, id_col, text)[0]
+    listed = F.concat_ws(",", F.transform("recipe", lambda c: F.concat_ws(":", c["short"], c["nth"])))
+    recipes = staged(recipes.withColumn("recipe_sha", F.sha2(listed, 256)), "recipes")
+    groups = staged(recipe_groups(recipes), "recipe-groups")
+    rows = join_groups(recipes.drop("recipe"), groups, ["recipe_sha"], "n_recipes", ["id", "text_sha256"])
+    rows = rows.select("*", F.posexplode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("nth", "_"))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0)
     return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")

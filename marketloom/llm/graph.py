@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import staged
+from marketloom.llm.common import join_groups, staged
+
+
+def _pointed(edges: DataFrame, key: str, other: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """``(edges with the least neighbour m of their key, the least neighbours alone)``."""
+    low = staged(edges.groupBy(key).agg(F.min(other).alias("m"), F.count("*").alias("degree")), "least-neighbours")
+    return join_groups(edges, low, [key], "degree", [other], total).drop("degree"), low.drop("degree")
+
+
+def _digest(edges: DataFrame) -> tuple:
+    """The number of the distinct edges and a hash of them all."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head())
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,20 +25,20 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Large-star and small-star steps alternate: every node points its larger
     neighbours, then its smaller ones, at the smallest neighbour. The number of
     rounds grows with the logarithm of the longest path; nothing but a count
-    reaches the driver, and every round is a table in the shared folder. Ids
-    must not be null; loops and repeated edges do no harm; no edges, no rows.
+    and a hash of the edges reaches the driver, which ends when both stay; the
+    edges of a star's centre are dealt over many tasks, and every round is a
+    table in the shared folder. Ids must not be null; loops and repeated edges
+    do no harm; no edges, no rows.
     """
     edges = staged(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "edges")
-    while True:
+    now, before = _digest(edges), None
+    while now != before:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").union(low.where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        large = staged(large, "large-star")
+        met, low = _pointed(both, "a", "b", 2 * now[0])
+        large = met.where("b > a").select(F.least("a", "m").alias("a"), "b").union(low.where("m < a").select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
         # b > a throughout: b points its smaller neighbours, and itself, at the smallest of them
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b")).distinct()
-        small = staged(small, "small-star")
-        if not edges.exceptAll(small).limit(1).count() and not small.exceptAll(edges).limit(1).count():
-            break
-        edges = small
+        met, low = _pointed(staged(large, "large-star"), "b", "a", 2 * now[0])
+        small = met.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(low.select(F.col("m").alias("a"), "b")).distinct()
+        edges = staged(small, "small-star")
+        now, before = _digest(edges), now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

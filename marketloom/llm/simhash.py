@@ -1,15 +1,22 @@
 """SimHash near-duplicates by Golay-code fuzzy hashing.
 
 A 64-bit fingerprint is cut into three segments, each a word of the perfect
-binary Golay code [23,12,7] (short ones padded with zeros). At most three
-errors over three segments leave two segments with one error at most. Every
-segment decodes to one codeword index; the segments at distance one from it
-decode to that index or to one of five others. So the indices of two segments
-of one fingerprint make an index key, all combinations of the near indices
-of the other one make its probe keys, and fingerprints within three bits meet
-at one pair of segments at least. The join verifies the real distance.
-Distinct fingerprints stand for their documents throughout, so copies cost
-nothing in the join, and links between fingerprints become components.
+binary Golay code [23,12,7] (short ones padded with zeros). Every segment
+decodes to one codeword index; the segments at distance one from it decode to
+that index or to one of five others. At most three errors over three segments
+leave one of two cases: some segment has none and another one at most, or all
+have exactly one. So the keys are, for each ordered pair of segments, the one
+as it is with the index of the other, and the indices of all three together.
+A fingerprint is filed under its own keys and asks with all near indices;
+keys of 33 to 36 bits keep chance meetings few, and the join verifies the
+real distance. Distinct fingerprints stand for their documents throughout, so
+copies cost nothing in the join, and links between fingerprints become
+components.
+
+Null texts and those without a word have fingerprint zero and link like any
+other. Very long texts are hashed whole, block by block. Repeated rows and
+ties share a fingerprint. Only the id and the text are read, so other columns
+do not matter, whatever their names; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -22,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import raw_rows, small_batches, staged, text_or_empty
+from marketloom.llm.common import join_groups, raw_rows, small_batches, staged, text_or_empty
 from marketloom.llm.graph import connected_components
 
 #: Generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 of the Golay code.
 GOLAY = 0b101011100011
 LENGTH, CHECK = 23, 11
-#: Place and width of the three segments, and the pairs of them that are keys.
+#: Place and width of the three segments, and the pairs of an exact and a near one that are keys.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+PAIRS = ((0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1))
 MAX_BITS = 3
 BLOCK = 1 << 16
 
@@ -100,42 +107,40 @@ def fingerprint(text, shingle: int = 5):
 
 
 def _keys(fingerprints: DataFrame, probe: bool) -> DataFrame:
+    """``fp, key``: the keys that each fingerprint is filed under, or those that it asks with."""
+
     def rows(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            near = [near_indices(segment(fp, k)).astype(np.int64) for k in range(3)]
-            for p, (i, j) in enumerate(PAIRS):
-                if probe:  # repeated indices of a segment stand for one
-                    new = [np.concatenate((np.ones((len(fp), 1), bool), near[k][:, 1:] != near[k][:, :1]), 1) for k in (i, j)]
-                    key, real = (near[i][:, :, None] << 12) | near[j][:, None, :], new[0][:, :, None] & new[1][:, None, :]
-                    of, key = np.repeat(fp, 36)[real.ravel()], key.ravel()[real.ravel()]
-                else:
-                    of, key = fp, (near[i][:, 0] << 12) | near[j][:, 0]
-                for low in range(0, len(of), BLOCK):
-                    yield pa.RecordBatch.from_arrays([pa.array(of[low : low + BLOCK].view(np.int64)), pa.array((key[low : low + BLOCK] | (p << 24)).astype(np.int32))], ["fp", "key"])
-
-    return fingerprints.select("fp").mapInArrow(rows, "fp long, key int")
-
-
-def _near(a, b, k: int):
-    at, width = SEGMENTS[k]
-    return F.bit_count(F.shiftrightunsigned(a.bitwiseXOR(b), at).bitwiseAND(F.lit((1 << width) - 1))) <= 1
+            own = [segment(fp, k).astype(np.int64) for k in range(3)]
+            near = [near_indices(x).astype(np.int64) for x in own]
+            # repeated indices of a segment stand for one
+            new = [np.concatenate((np.ones((len(fp), 1), bool), x[:, 1:] != x[:, :1]), 1) for x in near]
+            if not probe:
+                near, new = [x[:, :1] for x in near], [x[:, :1] for x in new]
+            x, y, z = near
+            keys = [(x[:, :, None, None] << 24 | y[:, None, :, None] << 12 | z[:, None, None, :]).reshape(len(fp), -1)]
+            real = [(new[0][:, :, None, None] & new[1][:, None, :, None] & new[2][:, None, None, :]).reshape(len(fp), -1)]
+            for p, (i, j) in enumerate(PAIRS, 1):
+                keys.append(p << 36 | own[i][:, None] << 12 | near[j])
+                real.append(new[j])
+            keys, real = np.concatenate(keys, 1), np.concatenate(real, 1)
+            of, key = np.repeat(fp.view(np.int64), real.sum(1)), keys[real]
+            for low in range(0, len(of), BLOCK):
+                yield pa.RecordBatch.from_arrays([pa.array(of[low : low + BLOCK]), pa.array(key[low : low + BLOCK])], ["fp", "key"])
+
+    return fingerprints.select("fp").mapInArrow(rows, "fp long, key long")
 
 
 def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``(fp_a, fp_b, bits)``: pairs of the distinct ``fp`` that differ in at most ``max_bits`` (3 at most).
-
-    Every pair comes once: of the keys by which it meets, the one of the first
-    pair of segments with one error each at most counts.
-    """
+    """``(fp_a, fp_b, bits)``: pairs of the distinct ``fp`` that differ in at most ``max_bits`` (3 at most), each once."""
     if max_bits > MAX_BITS:
         raise ValueError(f"the code finds {MAX_BITS} differing bits at most")
     index, probe = _keys(fingerprints, False).alias("x"), _keys(fingerprints, True).alias("y")
     a, b = F.col("x.fp"), F.col("y.fp")
-    met = F.when(_near(a, b, 0) & _near(a, b, 1), 0).when(_near(a, b, 0) & _near(a, b, 2), 1).otherwise(2)
     bits = F.bit_count(a.bitwiseXOR(b))
-    close = (F.col("x.key") == F.col("y.key")) & (a < b) & (bits <= max_bits) & (met == F.shiftrightunsigned(F.col("x.key"), 24))
-    return index.join(probe, close).select(a.alias("fp_a"), b.alias("fp_b"), bits.alias("bits"))
+    met = index.join(probe, (F.col("x.key") == F.col("y.key")) & (a < b) & (bits <= max_bits))
+    return met.select(a.alias("fp_a"), b.alias("fp_b"), bits.alias("bits")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
@@ -149,10 +154,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     small_batches(docs.sparkSession)
     prints = staged(docs.select(F.col(id_col).alias("id"), fingerprint(text, shingle).alias("fp")), "fingerprints")
-    least = staged(prints.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
+    least = staged(prints.groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n_rows")), "distinct-fingerprints")
     # components are sought between distinct fingerprints, shifted to a dense order of no meaning
     links = near_pairs(least, max_bits).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
     linked = connected_components(links)
-    owner = linked.join(least, linked.node == least.fp).groupBy("component").agg(F.min("first").alias("component_id"))
-    by_print = least.join(linked, least.fp == linked.node, "left").join(owner, "component", "left").select(least.fp, F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    linked = staged(linked.join(least, linked.node == least.fp).select("node", "component", "first"), "linked-fingerprints")
+    owner = staged(linked.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n_prints")), "components")
+    owned = join_groups(linked, owner, ["component"], "n_prints", ["node"]).select(F.col("node").alias("fp"), "component_id")
+    by_print = staged(least.join(owned, "fp", "left").select("fp", "n_rows", F.coalesce("component_id", "first").alias("component_id")), "print-components")
+    return join_groups(prints, by_print, ["fp"], "n_rows", ["id"]).select(F.col("id").alias(id_col), "fp", "component_id")
