@@ -3,14 +3,16 @@
 A pair of bytes that occurs inside no token of the vocabulary can never be
 merged across, so the place between them is a token boundary in every text.
 Where such a place is also certain to separate (or harmlessly divide) pieces
-of the pre-tokeniser, a text is cut there; the fragments are encoded
-independently and their ids concatenated, so memory is bounded by the longest
-stretch without a certain cut, not by the text.
+of the pre-tokeniser, a text is cut, every time: mostly at the end of each
+word. The fragments are encoded independently and their ids concatenated, so
+memory is bounded by the longest stretch without a certain cut, not by the
+text; a worker remembers a bounded number of short fragments.
 
 Nulls count as empty texts, which have no ids. A text in which no certain cut
-occurs is one fragment. Rows, ties
-and repeats are independent of each other, extra columns are kept, and an
-existing column of the output's name is replaced.
+occurs is one fragment; so is every text if the vocabulary normalises texts or
+has another pre-tokeniser. Rows, ties and repeats are independent of each
+other, extra columns are kept, an existing column of the output's name is
+replaced, and an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from pyspark.sql import functions as F
 
 from marketloom.llm.common import raw_rows, small_batches, text_or_empty
 
-#: Least length of a fragment, and how far one look for a cut reaches (both in bytes).
-FRAGMENT, BLOCK = 1024, 256
+#: Least length of a fragment, and how far one look for cuts reaches (both in bytes).
+FRAGMENT, BLOCK = 1, 1 << 16
+#: Fragments that a worker remembers, and bytes of the longest of them.
+MEMO, MEMO_BYTES = 1 << 15, 64
 #: The pieces that byte-level vocabularies of this family are split into first: a fixed value.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Finds characters from U+0180 on, whose classes regular expression engines may date differently.
@@ -51,19 +55,28 @@ def joined_pairs(tokens) -> np.ndarray:
     return seen
 
 
+#: The last bytes of white space beyond ASCII (U+0085, U+00A0, U+1680, U+180E, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000): fixed values.
+SPACE_ENDS = (0x80, 0x81, 0x82, 0x83, 0x84, 0x85, 0x86, 0x87, 0x88, 0x89, 0x8A, 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF)
+
+
 def certain_cuts(tokens) -> np.ndarray:
     """bool[65536]: pairs of bytes between which every text may be cut.
 
-    Besides never occurring in a token, the pair must be ASCII, its left byte
-    no white space (white space looks ahead) and not both punctuation (a
-    fragment must not start a contraction by itself). Control characters that
-    regular expression engines disagree about are left alone.
+    Besides never occurring in a token, the pair must lie between characters,
+    its left byte must not end white space (which looks ahead), and a fragment
+    must not start a contraction by itself: two marks, or an apostrophe after a
+    character beyond ASCII, stay together. Control characters that regular
+    expression engines disagree about are left alone.
     """
     kind = np.zeros(256, np.uint8)
-    for bytes_, k in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b"\t\n\x0b\x0c\r ", 3), (b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 4)):
+    for bytes_, k in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1), (b"0123456789", 2), (b"\t\n\x0b\x0c\r ", 3), (b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", 4), (range(0x80, 0xC0), 5), (range(0xC2, 0xF5), 6)):
         kind[list(bytes_)] = k
+    ends = ((kind > 0) & (kind != 3) & (kind != 6))[:, None].copy()
+    ends[list(SPACE_ENDS)] = False
+    starts = ((kind > 0) & (kind != 5))[None, :]
     left, right = kind[:, None], kind[None, :]
-    fits = (left > 0) & (left != 3) & (right > 0) & ~((left == 4) & (right == 4))
+    apostrophe = (np.arange(256) == ord("'"))[None, :]
+    fits = ends & starts & ~((left == 4) & (right == 4)) & ~((left == 5) & apostrophe)
     return fits.ravel() & ~joined_pairs(tokens)
 
 
@@ -91,19 +104,20 @@ class Codec:
         self.tokenizer.no_truncation()
         self.token_bytes = token_bytes(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cut = certain_cuts([*self.token_bytes, *self.added])
-        self.ranked = self._ranked(path)
+        with open(path) as file:
+            spec = json.load(file)
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.cut = certain_cuts([*self.token_bytes, *self.added]) if plain else np.zeros(65536, bool)
+        self.ranked = self._ranked(spec) if plain else None
+        self.known: dict[bytes, bytes] = {}
 
-    def _ranked(self, path: str):
-        """An encoder of the same pieces from ranks, if the vocabulary is plain and its ids follow the order of the merges."""
+    def _ranked(self, spec: dict):
+        """An encoder of the same pieces from ranks, if the ids of the vocabulary follow the order of its merges."""
         import tiktoken
 
-        with open(path) as file:
-            spec = json.load(file)
         ranks = {t: i for i, t in enumerate(self.token_bytes) if t and t not in self.added}
         merged = [spec["model"]["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
-        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        if not plain or merged != sorted(merged) or len(ranks) + len(self.added) != len(self.token_bytes):
+        if merged != sorted(merged) or len(ranks) + len(self.added) != len(self.token_bytes):
             return None
         return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
@@ -113,26 +127,30 @@ class Codec:
         return array("i", self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
 
     def fragments(self, raw: bytes):
-        """Pieces of a text between certain cuts, FRAGMENT bytes or a little more each."""
+        """Pieces of a text between certain cuts."""
         codes, start = np.frombuffer(raw, np.uint8), 0
-        while len(raw) - start > FRAGMENT:
-            low = start + FRAGMENT
-            while low < len(raw) - 1:  # look for a cut in ever later blocks
-                part = codes[low : low + BLOCK + 1]
-                if len(found := np.flatnonzero(self.cut[(part[:-1].astype(np.uint16) << 8) | part[1:]])):
-                    break
-                low += BLOCK
-            else:
-                break
-            end = low + int(found[0]) + 1
-            yield raw[start:end]
-            start = end
+        for low in range(0, len(raw) - 1, BLOCK):
+            part = codes[low : low + BLOCK + 1].astype(np.uint16)
+            for end in (np.flatnonzero(self.cut[(part[:-1] << 8) | part[1:]]) + (low + 1)).tolist():
+                if end - start >= FRAGMENT:
+                    yield raw[start:end]
+                    start = end
         if start < len(raw):
             yield raw[start:]
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian 32-bit integers."""
-        return b"".join([self._ids_of(x) for x in self.fragments(raw)])
+        known, out = self.known, []
+        for piece in self.fragments(raw):
+            ids = known.get(piece)
+            if ids is None:
+                ids = self._ids_of(piece)
+                if len(piece) <= MEMO_BYTES:
+                    if len(known) >= MEMO:
+                        known.clear()
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=4)

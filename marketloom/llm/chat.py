@@ -3,14 +3,17 @@
 Messages form trees by their parent's id. Ids alone go through the joins:
 jump pointers are doubled by self-joins (round k finds the ancestor 2^k steps
 up, so a thread of n turns takes log2(n) rounds), the same pointers list the
-ancestors of every chosen leaf, and the texts are gathered once, by tree.
+ancestors of every chosen leaf, and only the texts on chosen paths are joined
+and gathered, by path.
 
 Branches are the paths from a root to a leaf, ranked in their tree by the sum
 of their scores (null: 0), ties by the smaller leaf id. A message whose parent
 is null or not in its tree is a root. Messages without a tree or node id, and
 those on a cycle (which have no root), are in no branch. Of repeated node ids
-in a tree the row with the smallest parent, role and text stays. Null roles
-and texts are empty.
+in a tree the row with the smallest parent (null first), then by a hash of role
+and text, stays. Null roles and texts are empty, very long texts are kept
+whole. Trees are told apart by any type that can be compared. Other columns
+do not matter, whatever their names; an empty table has an empty result.
 """
 
 from __future__ import annotations
@@ -89,21 +92,14 @@ def format_trees(messages: DataFrame, top: int | None = 1) -> DataFrame:
     ``messages``: ``tree, node, parent, role, text, score``; node ids are long.
     """
     tidy = messages.where("tree is not null and node is not null")
-    digest = F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    light = tidy.select("tree", "node", F.col("parent"), "score", digest.alias("d"))
-    light = light.groupBy("tree", "node").agg(F.min_by(F.struct("parent", "score"), F.struct("parent", "d")).alias("x"))
-    paths = root_to_leaf_paths(light.select("tree", "node", "x.parent", "x.score"), top)
-    turns = tidy.groupBy("tree").agg(F.array_sort(F.collect_list(F.struct("node", "parent", digest.alias("d"), "role", "text"))).alias("turns"))
-    # the first row of each node; lambdas see the place of a row and so its neighbour
-    firsts = F.filter("turns", lambda x, i: (i == 0) | (F.element_at("turns", F.greatest(i, F.lit(1)))["node"] != x["node"]))
-    turns = turns.select("tree", firsts.alias("turns")).withColumn("places", F.transform("turns", lambda x: x["node"]))
-    joined = paths.join(turns, "tree")
-    # nodes often are their own places; else they are looked up among the sorted ids
-    straight = F.forall("path", lambda n: F.get("places", n.cast("int")) == n)
-    place = lambda n: F.when(F.col("straight"), n).otherwise(F.array_position("places", n) - 1).cast("int")
-    said = lambda n: F.get("turns", place(n))
-    line = lambda n: F.concat(F.lit(START), escaped_role(said(n)["role"]), F.lit("\n"), escaped(said(n)["text"]), F.lit(END + "\n"))
-    return joined.withColumn("straight", F.coalesce(straight, F.lit(False))).select("tree", "leaf", "rank", "score", F.size("path").cast("long").alias("n_turns"), F.concat_ws("", F.transform("path", line)).alias("formatted"))
+    order = F.struct("parent", F.xxhash64(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    nodes = tidy.groupBy("tree", "node").agg(F.min_by(F.struct("parent", "score", "role", "text"), order).alias("x"))
+    nodes = staged(nodes.select("tree", "node", "x.*"), "messages")
+    paths = root_to_leaf_paths(nodes.select("tree", "node", "parent", "score"), top)
+    turns = paths.select("tree", "leaf", "rank", "score", F.posexplode("path").alias("at", "node")).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    line = F.concat(F.lit(START), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))
+    said = turns.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))).alias("lines"))
+    return said.select("tree", "leaf", "rank", "score", F.size("lines").cast("long").alias("n_turns"), F.concat_ws("", F.transform("lines", lambda x: x["line"])).alias("formatted"))
 
 
 def parse_formatted(formatted) -> F.Column:

@@ -60,7 +60,7 @@ def small_batches(spark: SparkSession) -> None:
 HOT_PARTS = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], total: int | None = None) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: list[str], total: int | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with the one row that ``groups`` has for each key, hot keys dealt over many tasks.
 
     ``size`` is the column of ``groups`` that tells how many of the rows have
@@ -68,11 +68,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     most; their groups are repeated once for each part, and a hash of the
     ``spread`` columns tells a row's part, so that a lost task comes out the
     same again. ``total`` is the number of rows, if it is known. Groups are
-    read more than once: stage them. Keys must not be null.
+    read more than once (``sizes``, if given, instead of them where only keys
+    and sizes matter): stage them. Keys must not be null.
     """
-    total = total if total is not None else groups.agg(F.sum(size)).head()[0] or 0
+    sizes = groups if sizes is None else sizes
+    total = total if total is not None else sizes.agg(F.sum(size)).head()[0] or 0
     limit = max(1, total // HOT_PARTS)
-    hot = F.broadcast(groups.where(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).alias("__parts")))
+    hot = F.broadcast(sizes.where(F.col(size) > limit).select(*keys, F.ceil(F.col(size) / limit).alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = rows.join(hot, keys, "left").withColumn("__part", F.when(parts == 1, 0).otherwise(F.pmod(F.xxhash64(*spread), parts))).drop("__parts")
     copies = groups.join(hot, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("__parts")

@@ -29,10 +29,10 @@ def sha256(text) -> F.Column:
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token sequence of ``documents``, read back from the shards in training order."""
     path = tokenizer_path()
-    sequences, size = training_order.place_sequences(table(spark, sf_dir, "documents"), path, TRAINING_KEY)
-    manifest = training_order.write_shards(sequences, size, len(bpe.token_bytes(path)))
+    sequences, domain = training_order.place_sequences(table(spark, sf_dir, "documents"), path, TRAINING_KEY)
+    manifest = training_order.write_shards(sequences, domain, len(bpe.token_bytes(path)))
     rows = training_order.read_shards(manifest)
-    return rows.select("slot", "shard", F.col("id").alias("doc_id"), "seq_no", "n_tokens", F.sha2("payload", 256).alias("ids_sha256"))
+    return rows.select("slot", "shard", F.when(F.col("has_id"), F.col("id")).alias("doc_id"), "seq_no", "n_tokens", F.sha2("payload", 256).alias("ids_sha256"))
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,16 +57,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_trees(conversations: DataFrame) -> DataFrame:
-    """Conversations as reply trees: every turn answers the one before it."""
+    """Conversations as reply trees: every turn answers the one before it. Rows without a conv_id are a tree of their own."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = conversations.select("conv_id", "turn", "role", "text").withColumn("node", F.row_number().over(order).cast("long") - 1)
-    return rows.select(F.col("conv_id").alias("tree"), "node", F.nullif(F.col("node") - 1, F.lit(-1)).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
+    return rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), "node", F.nullif(F.col("node") - 1, F.lit(-1)).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
     rows = chat.format_trees(conversation_trees(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
-    rows = rows.select(F.col("tree").alias("conv_id"), F.length("formatted").cast("long").alias("formatted_chars"), chat.parse_formatted(F.col("formatted")).alias("turns"))
+    rows = rows.select(F.nullif("tree", F.lit("")).cast("long").alias("conv_id"), F.length("formatted").cast("long").alias("formatted_chars"), chat.parse_formatted(F.col("formatted")).alias("turns"))
     said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     loss = F.concat_ws("", chat.loss_spans(F.col("turns")))
     return rows.select("conv_id", F.size("turns").cast("long").alias("n_turns"), sha256(said).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), sha256(loss).alias("loss_sha256"), "formatted_chars")

@@ -3,14 +3,17 @@
 The payload table holds every payload once, under its SHA-256; the header
 table holds the exact header of every record and the digest of its payload.
 Original records come back by joining the two, and digests are computed anew
-from the stored bytes when an archive is read.
-
-A null payload is empty. Payloads of fewer than ``min_revisit_bytes`` bytes
-are responses all of them; of the other records with equal payloads the one
-with the smallest id is the response (a row repeated with that id too), the
-rest are revisits. Rows without an id are responses if no row with their
-payload has one. A null URL leaves its header line out; line breaks in a URL
-are percent-encoded.
+from the bytes of what came back. A payload that a third of all records share
+is dealt over many tasks in each join.
+
+A null payload is empty, very long ones are kept whole. Payloads of fewer than
+``min_revisit_bytes`` bytes are responses all of them; of the other records
+with equal payloads the one with the smallest id is the response (a row
+repeated with that id too), the rest are revisits. Rows without an id are
+responses if no row with their payload has one. A null URL leaves its header
+line out; line breaks in a URL are percent-encoded. Only id, URL and payload
+are read, so other columns do not matter, whatever their names; an empty table
+makes an empty archive. Ids are integers.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import shared_path
+from marketloom.llm.common import join_groups, shared_path, staged
 
 CRLF = "\r\n"
 #: The digits of base 32 in order: fixed values.
@@ -41,23 +44,19 @@ def base32_sha1(payload) -> F.Column:
     return F.translate(F.upper(F.concat(*groups)), BASE32_HEX, BASE32)
 
 
-def _keyed(pages: DataFrame, id_col: str, url: str, payload: str) -> DataFrame:
-    body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), body.alias("payload"))
-    return rows.withColumns({"key": F.unhex(F.sha2("payload", 256)), "sha1": base32_sha1(F.col("payload")), "n": F.octet_length("payload").cast("long")})
-
-
 def write_archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", min_revisit_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", path: str | None = None) -> Archive:
-    """Write a record for each row of ``pages``; payload bytes cross the network once."""
+    """Write a record for each row of ``pages``; payload bytes cross the network once, to the one place of their digest and first id."""
     path = path or shared_path(pages.sparkSession, "warc")
-    rows = _keyed(pages, id_col, url, payload)
-    same = ["key", "sha1", "n"]
-    first = rows.groupBy(*same).agg(F.min("id").alias("first_id"))
-    told = rows.select("id", "url", *same).join(first, same)
+    body, own = F.coalesce(F.col(payload).cast("binary"), F.lit(b"")), F.col(id_col)
+    key, owner = F.unhex(F.sha2(body, 256)), F.coalesce(own.cast("string"), F.lit(""))
+    rows = pages.select(own.alias("id"), F.col(url).cast("string").alias("url"), key.alias("key"), base32_sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("n"))
+    rows = staged(rows, "warc-digests")
+    first = staged(rows.groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("n_records")), "warc-first")
+    told = join_groups(rows, first, ["key"], "n_records", ["id", "url"])
     role = F.when((F.col("n") < min_revisit_bytes) | F.col("id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit")
     told = told.withColumn("role", role)
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n").cast("string"), F.lit(CRLF * 2))
-    body = F.octet_length("http_header") + F.when(F.col("role") == "response", F.col("n")).otherwise(0)
+    length = F.octet_length("http_header") + F.when(F.col("role") == "response", F.col("n")).otherwise(0)
     lines = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("role")),
@@ -67,46 +66,41 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url: str = "url", p
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1")),
         F.when(F.col("role") == "revisit", F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{CRLF}WARC-Refers-To: <urn:page:"), F.col("first_id").cast("string"), F.lit(">"))),
         F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), body.cast("string")),
+        F.concat(F.lit("Content-Length: "), length.cast("string")),
     ]
-    told = told.withColumn("http_header", http).select("id", "key", F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).alias("record_header"), "http_header")
+    told = told.withColumn("http_header", http).select("id", "key", "role", F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2)).alias("record_header"), "http_header")
     told.write.option("compression", "zstd").parquet(f"{path}/headers")
-    owners = first.select("key", F.col("first_id").alias("id"))
-    # a row for each key and owner: repeated rows store their payload once, rows without an id theirs
-    bodies = rows.select("key", "id", "payload").join(owners, rows.key.eqNullSafe(owners.key) & rows.id.eqNullSafe(owners.id), "left_semi")
-    bodies.dropDuplicates(["key", "id"]).select("key", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    owners = first.select("key", F.coalesce(F.col("first_id").cast("string"), F.lit("")).alias("owner"), "n_records")
+    # repeated rows store their payload once, and so do rows without an id
+    bodies = pages.select(key.alias("key"), owner.alias("owner"), body.alias("payload")).join(owners, ["key", "owner"])
+    bodies.dropDuplicates(["key", "owner"]).select("key", "n_records", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     return Archive(f"{path}/headers", f"{path}/payloads")
 
 
-def read_headers(spark, archive: Archive) -> DataFrame:
-    """The records' headers, with type and references parsed from the header text."""
-    rows = spark.read.parquet(archive.headers)
-    field = lambda name: F.nullif(F.regexp_extract("record_header", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
-    number = lambda name: F.nullif(F.regexp_extract("record_header", rf"(?m)^{name}: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
-    return rows.withColumns({"record_type": field("WARC-Type"), "record_id": number("WARC-Record-ID"), "refers_to": number("WARC-Refers-To"), "stated_sha1": F.substring(field("WARC-Payload-Digest"), 6, 32)})
-
-
 def read_payloads(spark, archive: Archive) -> DataFrame:
-    """Stored payloads whose bytes still have the digest they are filed under."""
+    """Stored payloads whose bytes still have the digest they are filed under, and the number of records that have them."""
     rows = spark.read.parquet(archive.payloads)
     intact = F.unhex(F.sha2("payload", 256)) == F.col("key")
     return rows.where(F.when(intact, True).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.hex("key"))).cast("boolean")))
 
 
-def describe_records(spark, archive: Archive) -> DataFrame:
-    """``record_id, payload_bytes, payload_digest, record_type, refers_to`` per record.
+def rebuild_records(spark, archive: Archive) -> DataFrame:
+    """``record``: the whole bytes of each WARC record, of which ``header_bytes`` are its header; ``payload``: what it stands for, also of revisits."""
+    sizes = spark.read.parquet(archive.payloads).select("key", "n_records")
+    rows = join_groups(spark.read.parquet(archive.headers), read_payloads(spark, archive), ["key"], "n_records", ["id"], sizes=sizes)
+    body = F.when(F.col("role") == "response", F.col("payload")).otherwise(F.lit(b""))
+    record = F.concat(F.encode("record_header", "UTF-8"), F.encode("http_header", "UTF-8"), body, F.lit((CRLF * 2).encode()))
+    return rows.select(record.alias("record"), F.octet_length("record_header").alias("header_bytes"), "payload")
 
-    Length and digest are computed from the stored bytes where they lie; only
-    these join the headers, so no payload is moved.
-    """
-    facts = read_payloads(spark, archive).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    rows = read_headers(spark, archive).join(facts, "key")
-    return rows.select("record_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
+def describe_records(spark, archive: Archive) -> DataFrame:
+    """``record_id, payload_bytes, payload_digest, record_type, refers_to`` of every rebuilt record.
 
-def rebuild_records(spark, archive: Archive) -> DataFrame:
-    """``record_id, record``: the whole bytes of each WARC record, and ``payload``, also that of revisits."""
-    rows = read_headers(spark, archive).join(read_payloads(spark, archive), "key")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    record = F.concat(F.encode("record_header", "UTF-8"), F.encode("http_header", "UTF-8"), body, F.lit((CRLF * 2).encode()))
-    return rows.select("record_id", record.alias("record"), "payload")
+    Type and references are read from the header in the record's bytes, length
+    and digest from the payload that came back with it.
+    """
+    head = F.decode(F.substring("record", F.lit(1), F.col("header_bytes")), "UTF-8")
+    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: ([^\r\n]*)", 1), F.lit(""))
+    number = lambda name: F.nullif(F.regexp_extract("head", rf"(?m)^{name}: <urn:page:(-?\d+)>", 1), F.lit("")).cast("long")
+    rows = rebuild_records(spark, archive).select(head.alias("head"), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    return rows.select(number("WARC-Record-ID").alias("record_id"), "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"))
