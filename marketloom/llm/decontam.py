@@ -1,16 +1,20 @@
 """Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Grams of so many words that test items and documents have in common are found
-in one pass over the documents, which cuts out the passages around them. Every
-item that shares a gram with a passage is a candidate, however common the gram
-is. A bound that no alignment can exceed drops candidates; the rest are aligned
-word by word, so that copies with changed, added or missing words are scored
-as a whole. A task aligns equal passages once.
-
-Words are runs of letters and digits, lower-cased; null texts have none. Items
-with fewer words than a gram are found whole only; those without words match
-nothing. Repeated items are told apart by their id, repeated rows of documents share a result. Hits
-are lists of links; a document without one has no row.
+in one pass over the documents; they are rare beside the documents' own. Every
+item that shares a gram with a document is a candidate, however common the gram
+is. The passage around an item's seeds, as far as any alignment through them
+can reach, is scored: a bound that no alignment can exceed drops candidates,
+the rest are aligned word by word, so that copies with changed, added or
+missing words are scored as a whole. A task aligns equal passages once.
+
+Words are runs of letters and digits, lower-cased; null and empty texts have
+none, very long ones are read whole. Items with fewer words than a gram are
+found whole only; those without words match nothing. Repeated items are told
+apart by their id; rows without an id have no links. Repeated rows share a
+result. Hits are lists of links; a document without one has no row. Only the
+ids and texts are read, so other columns do not matter, whatever their names;
+an empty table has no links.
 """
 
 from __future__ import annotations
@@ -31,8 +35,6 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Words and grams of test items that one pass looks for (about 30 bytes each, broadcast); more take more passes.
 GRAMS_PER_PASS = 4_000_000
-#: Words of context at each end of a passage beyond what its item can need.
-SLACK = 8
 ROWS = 1 << 12
 #: Passages whose leaks a task remembers.
 MEMO = 1 << 14
@@ -105,24 +107,37 @@ def short_leaks(index: Index, ids: np.ndarray):
                 yield item, 1.0, int(place[at]), k, 1
 
 
-def leaks_of(index: Index, passage: np.ndarray, grams: np.ndarray, threshold: float) -> list[tuple]:
-    """``(item, score, first, last, n_seeds)`` of the items that a passage leaks; ``grams`` are the numbers of its grams."""
-    owners = np.concatenate([index.owners[a:b] for a, b in zip(index.first[grams].tolist(), index.first[grams + 1].tolist())])
-    out = []
-    for item, n in zip(*(x.tolist() for x in np.unique(owners, return_counts=True))):
-        words = index.words_of(item)
-        if bound(words, passage) < threshold * MATCH * len(words):
-            continue
-        score, first, last = align(words, passage)
-        if score >= threshold * MATCH * len(words):
-            out.append((item, score / (MATCH * len(words)), first, last, n))
-    return out
+def passages_of(index: Index, grams: np.ndarray, at: np.ndarray, gram: int):
+    """``(item, low, high, n_seeds)``: the items that own a text's ``grams`` (their numbers, at the words ``at``), each with a passage.
+
+    A local alignment gains MATCH for each word of its item at most and loses
+    -GAP for each word more, so it covers fewer than (1 + MATCH) times the
+    item's words; seeds whose reaches meet share a passage.
+    """
+    count = index.first[grams + 1] - index.first[grams]
+    items = index.owners[np.repeat(index.first[grams] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())]
+    places = np.repeat(at, count)
+    order = np.lexsort((places, items))
+    items, places, names = items[order], places[order], np.repeat(grams, count)[order]
+    reach = (1 + MATCH // -GAP) * np.diff(index.ends)[items]
+    new = np.flatnonzero(np.concatenate(([True], (items[1:] != items[:-1]) | (places[1:] - places[:-1] > 2 * reach[1:] + gram))))
+    for low, high in zip(new.tolist(), np.append(new[1:], len(items)).tolist()):
+        far = int(reach[low])
+        yield int(items[low]), max(0, int(places[low]) - far), int(places[high - 1]) + gram + far, len(np.unique(names[low:high]))
+
+
+def score_of(words: np.ndarray, passage: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+    """``(score, first, last)`` of the best alignment, if it reaches the threshold."""
+    best = MATCH * len(words)
+    if bound(words, passage) < threshold * best:
+        return None
+    score, first, last = align(words, passage)
+    return (score / best, first, last) if score >= threshold * best else None
 
 
 def _leaks(docs: DataFrame, items: DataFrame, gram: int, threshold: float) -> DataFrame:
     """``id, item, score, at, n_words, n_seeds`` of all leaks of ``items`` (item, words) in passages of ``docs`` (id, text)."""
     index = index_of(items, gram)
-    reach = int(np.diff(index.ends).max(initial=0)) + SLACK
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def rows(batches):
@@ -137,28 +152,26 @@ def _leaks(docs: DataFrame, items: DataFrame, gram: int, threshold: float) -> Da
                     continue
                 place = np.minimum(np.searchsorted(known.grams, found), len(known.grams) - 1)
                 hits = np.flatnonzero(known.grams[place] == found)
-                if not len(hits):
-                    continue
-                # hits further apart than an item is long belong to different passages
-                for run in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1):
-                    low, high = max(0, int(run[0]) - reach), int(run[-1]) + gram + reach
-                    key = hashlib.blake2b(ids[low:high].tobytes(), digest_size=16).digest()
+                for item, low, high, n in passages_of(known, place[hits], hits, gram) if len(hits) else ():
+                    key = item, hashlib.blake2b(ids[low:high].tobytes(), digest_size=16).digest()
                     if key not in seen:
                         if len(seen) >= MEMO:
                             seen.clear()
-                        seen[key] = leaks_of(known, ids[low:high], np.unique(place[run]), threshold)
-                    out += [(doc, item, score, low + first, last - first, n) for item, score, first, last, n in seen[key]]
+                        seen[key] = score_of(known.words_of(item), ids[low:high], threshold)
+                    if seen[key]:
+                        score, first, last = seen[key]
+                        out.append((doc, item, score, low + first, last - first, n))
                 if len(out) >= ROWS:
-                    yield _batch(out, known.names)
+                    yield _batch(out, known.names, batch.schema.field("id").type)
                     out = []
-            yield _batch(out, known.names)
+            yield _batch(out, known.names, batch.schema.field("id").type)
 
-    kind = items.schema["item"].dataType.simpleString()
-    return docs.mapInArrow(rows, f"id long, item {kind}, score double, at int, n_words int, n_seeds long")
+    kinds = (docs.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString())
+    return docs.select("id", "text").mapInArrow(rows, f"id {kinds[0]}, item {kinds[1]}, score double, at int, n_words int, n_seeds long")
 
 
-def _batch(rows, names: pa.Array) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64())
+def _batch(rows, names: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+    kinds = (id_type, pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64())
     columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]
     columns[1] = names.take(columns[1])
     return pa.RecordBatch.from_arrays(columns, ["id", "item", "score", "at", "n_words", "n_seeds"])
@@ -194,15 +207,10 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """``(id, item, score, first_word, n_words, n_seeds)``: each document and test item it leaks, once.
-
-    The best alignment counts, the first of equal ones. ``score`` is between
-    ``threshold`` and 1. Benchmarks of any size go in blocks of items, each
-    with GRAMS_PER_PASS grams at most on average.
-    """
+def _best_leaks(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, gram: int, threshold: float) -> DataFrame:
+    """``id, item, b``: the best leak of each item in each of ``docs`` (id, text), by blocks of items of a bounded size."""
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    docs = docs.withColumn("text", F.lower("text"))
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), tokenised(benchmark, item_text).alias("words"))
     items = staged(items.dropDuplicates(["item", "words"]), "benchmark-items")
     total = items.agg(F.sum(F.size("words"))).head()[0] or 0
@@ -210,13 +218,33 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     leaks = None
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
-        more = _leaks(rows, block, gram, threshold)
+        more = _leaks(docs, block, gram, threshold)
         leaks = more if leaks is None else leaks.union(more)
-    best = leaks.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("at")).alias("early"), "n_words", "n_seeds")).alias("b"))
+    return leaks.groupBy("id", "item").agg(F.max(F.struct("score", (-F.col("at")).alias("early"), "n_words", "n_seeds")).alias("b"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """``(id, item, score, first_word, n_words, n_seeds)``: each document and test item it leaks, once.
+
+    The best alignment counts, the first of equal ones; rows that share an id
+    share its links. ``score`` is between ``threshold`` and 1. Benchmarks of
+    any size go in blocks of items, each with GRAMS_PER_PASS words at most on
+    average.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    best = _best_leaks(rows, benchmark, item_col, item_text, gram, threshold)
     return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.round("b.score", 6).alias("score"), (-F.col("b.early")).cast("int").alias("first_word"), "b.n_words", "b.n_seeds")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that leak no test item; rows without an id stay."""
+    """The rows of ``docs`` whose id leaks no test item; rows without an id stay."""
     leaks = contaminated(docs, benchmark, id_col, **options).select(F.col(id_col)).distinct()
     return docs.join(leaks, id_col, "left_anti")
+
+
+def drop_contaminated_rows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_col: str = "item_id", item_text: str = "text", gram: int = GRAM, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose own text leaks no test item, whatever their ids."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    digest = F.sha2(F.encode(body, "UTF-8"), 256)
+    leaks = _best_leaks(docs.select(digest.alias("id"), body.alias("text")), benchmark, item_col, item_text, gram, threshold)
+    return docs.withColumn("__digest", digest).join(leaks.select(F.col("id").alias("__digest")).distinct(), "__digest", "left_anti").select(*docs.columns)
