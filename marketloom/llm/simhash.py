@@ -139,7 +139,8 @@ def near_pairs(fingerprints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     index, probe = _keys(fingerprints, False).alias("x"), _keys(fingerprints, True).alias("y")
     a, b = F.col("x.fp"), F.col("y.fp")
     bits = F.bit_count(a.bitwiseXOR(b))
-    met = index.join(probe, (F.col("x.key") == F.col("y.key")) & (a < b) & (bits <= max_bits))
+    # each row makes many keys, which no estimate foresees: never broadcast
+    met = index.hint("merge").join(probe, (F.col("x.key") == F.col("y.key")) & (a < b) & (bits <= max_bits))
     return met.select(a.alias("fp_a"), b.alias("fp_b"), bits.alias("bits")).distinct()
 
 
