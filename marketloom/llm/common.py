@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode and where none is set (tests)."""
     root = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='marketloom-')}"
         spark.conf.set(CHECKPOINT_DIR, root)
         spark.sparkContext.setCheckpointDir(root)
