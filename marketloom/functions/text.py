@@ -12,11 +12,13 @@ TRACKING_PARAMS = ["_source", "campaign", "content", "fbclid", "gclid", "mc_cid"
 REDIRECT_HOSTS = ["google.com", "news.google.com", "finance.yahoo.com", "l.facebook.com", "lnkd.in"]
 REDIRECT_PARAMS = ["url", "u", "target"]
 TITLE_STOPWORDS = ["a", "an", "and", "as", "at", "for", "from", "in", "of", "on", "the", "to", "with"]
-# The patterns that redaction masks.
+# The patterns that redaction masks. The two authorisation schemes are one pattern, as either is masked whole.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 KEY_VALUE = r"(?i)(password|passwd|pwd|secret|token|key|auth)['\"\s]*[:=]['\"\s]*([^\s'\"&<>]+)"
 BEARER = r"(?i)(Bearer\s+[A-Za-z0-9\-_]{10,}|Basic\s+[A-Za-z0-9+/=]{10,})"
 MASK = "[REDACTED]"
+# The forms of API keys and access tokens.
+KEY_FORMS = [r"sk-[A-Za-z0-9]{40,}", r"ghp_[A-Za-z0-9]{36}", r"gho_[A-Za-z0-9]{36}"]
 
 
 def col(x) -> Column:
@@ -121,7 +123,15 @@ def best_sentence(text, terms: Iterable[str]) -> Column:
 def redacted(text) -> Column:
     """E-mail addresses and secrets masked; the name of a secret stays."""
     text = F.regexp_replace(F.coalesce(col(text), F.lit("")), EMAIL, MASK)
-    return F.regexp_replace(F.regexp_replace(text, BEARER, MASK), KEY_VALUE, f"$1={MASK.replace('[', chr(91))}")
+    return F.regexp_replace(F.regexp_replace(text, BEARER, MASK), KEY_VALUE, f"$1={MASK}")
+
+
+def redacted_secrets(text) -> Column:
+    """As ``redacted``, with API keys and access tokens that stand by themselves masked too."""
+    text = redacted(text)
+    for form in KEY_FORMS:
+        text = F.regexp_replace(text, form, MASK)
+    return text
 
 
 def redacted_map(values, names: Iterable[str]) -> Column:

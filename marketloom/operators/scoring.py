@@ -204,11 +204,11 @@ def token_estimate(text, per_million: float, chars_per_token: float = 4.0) -> tu
     return tokens, tokens * per_million / 1e6
 
 
-def upcoming(calendar: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    """Events from ``as_of`` on for so many days, the next of each symbol marked."""
+def upcoming(calendar: DataFrame, as_of: str, days: int = 14, tie: str | None = None) -> DataFrame:
+    """Events from ``as_of`` on for so many days, the next of each symbol marked; of one day the least ``tie``."""
     left = F.datediff("event_date", F.lit(as_of).cast("date"))
     rows = calendar.withColumn("days_until", left).where((F.col("days_until") >= 0) & (F.col("days_until") <= days))
-    return rows.withColumn("next", F.row_number().over(Window.partitionBy("symbol").orderBy("event_date")) == 1)
+    return rows.withColumn("next", F.row_number().over(Window.partitionBy("symbol").orderBy("event_date", *([tie] if tie else []))) == 1)
 
 
 def position_context(positions: DataFrame, capital: float = 100_000.0, cap: float = 0.5) -> DataFrame:

@@ -78,6 +78,12 @@ def redact_pii(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redacted("text")).alias("digest"))
 
 
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b', '[REDACTED]', 'g'), '(?i)(Bearer\s+[A-Za-z0-9\-_]{10,}|Basic\s+[A-Za-z0-9+/=]{10,})', '[REDACTED]', 'g'),
+  '(?i)(password|passwd|pwd|secret|token|key|auth)[''"\s]*[:=][''"\s]*([^\s''"&<>]+)', '\1=[REDACTED]', 'g'), 'sk-[A-Za-z0-9]{40,}|ghp_[A-Za-z0-9]{36}|gho_[A-Za-z0-9]{36}', '[REDACTED]', 'g')) AS digest FROM documents""")
+def redact_secrets(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.redacted_secrets("text")).alias("digest"))
+
+
 @query(r"SELECT doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n_words, len(regexp_extract_all(coalesce(text, ''), '[.!?]+')) AS n_sentences, len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) AS n_numbers FROM documents")
 def text_counts(spark, sf_dir):
     c = tx.text_counts("text")

@@ -154,18 +154,19 @@ def concentration_weights(spark, sf_dir):
     return sc.concentration_weights(rows, 0.3, 0.3).select("doc_id", "provider_factor", "ticker_factor")
 
 
-@query("""SELECT user_id AS symbol, CAST(ts AS DATE) AS event_date, date_diff('day', DATE '2024-01-15', CAST(ts AS DATE)) AS days_until, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) = 1 AS next FROM events WHERE event_type = 'signup' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-29'
-  QUALIFY count(*) OVER (PARTITION BY user_id, CAST(ts AS DATE)) = 1""")
+@query("""SELECT user_id AS symbol, CAST(ts AS DATE) AS event_date, date_diff('day', DATE '2024-01-15', CAST(ts AS DATE)) AS days_until, row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), event_id) = 1 AS next FROM events WHERE event_type = 'signup' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-15' AND DATE '2024-01-29'""")
 def upcoming_events(spark, sf_dir):
-    days = table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy(F.col("user_id").alias("symbol"), F.to_date("ts").alias("event_date")).agg(F.count("*").alias("n"))
-    return sc.upcoming(days, "2024-01-15").where("n = 1").select("symbol", "event_date", "days_until", "next")
+    days = table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("user_id").alias("symbol"), F.to_date("ts").alias("event_date"), "event_id")
+    return sc.upcoming(days, "2024-01-15", tie="event_id").select("symbol", "event_date", "days_until", "next")
 
 
 @query("""SELECT o_custkey, o_orderkey, round(o_totalprice - 200000, 2) AS profit, round(o_totalprice / 200000 - 1, 6) AS profit_pct, round(least(0.5, o_totalprice / 1000000), 6) AS share FROM orders""")
 def position_contexts(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lit(1.0).alias("shares"), F.lit(200000.0).alias("cost"), F.col("o_totalprice").alias("price"))
     out = sc.position_context(rows, 1_000_000.0)
-    return out.select("o_custkey", "o_orderkey", r("profit", 2).alias("profit"), r("profit_pct").alias("profit_pct"), r("share").alias("share"))
+    # rounded as doubles, half away from zero: decimal rounding of their shortest digits differs at ties
+    near = lambda c, scale: (F.signum(c) * F.floor(F.abs(F.col(c) * scale) + 0.5) / scale).alias(c)
+    return out.select("o_custkey", "o_orderkey", near("profit", 1e2), near("profit_pct", 1e6), near("share", 1e6))
 
 
 @query("""WITH u AS (SELECT user_id AS key, max(value) AS slowest, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY 1) SELECT key, 'slowest' AS metric, slowest AS value, 'warning' AS severity FROM u WHERE slowest > 60 UNION ALL SELECT key, 'errors', CAST(errors AS DOUBLE), 'critical' FROM u WHERE errors > 10""")

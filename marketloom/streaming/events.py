@@ -7,13 +7,15 @@ stopped and sinks see each row once.
 
 from __future__ import annotations
 
-import uuid
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketloom.staging import shared_path
+
 PROPS = "k long"
 
 
@@ -34,20 +36,13 @@ def read_kafka(spark: SparkSession, servers: str, topic: str, starting: str = "l
     return rows.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("payload"), F.col("timestamp").alias("ts"))
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Process all that is there, into parquet, and read it as a batch.
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all that is there, into parquet, and read it as a batch."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
+    With the ``path`` of an earlier run it goes on where that one stopped;
+    without one it begins anew, in the shared folder.
+    """
+    spark, path = stream.sparkSession, path or shared_path(stream.sparkSession, name)
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
@@ -79,7 +74,7 @@ def parsed(events: DataFrame, payload: str = "props", schema: str = PROPS) -> Da
 
 def with_dead_letters(stream: DataFrame, name: str, accept: Column) -> tuple[DataFrame, DataFrame]:
     """(good, dead): rows by ``accept``, written by one query whose batches overwrite themselves when repeated."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
+    spark, path = stream.sparkSession, shared_path(stream.sparkSession, name)
 
     def store(batch: DataFrame, epoch: int) -> None:
         marked = batch.withColumn("dead", ~F.coalesce(accept, F.lit(False)))
@@ -126,15 +121,26 @@ def cooldown(alerts: DataFrame, key: str, minutes: int = 60, name: str = "cooldo
     return alerts.groupBy(key).applyInPandasWithState(step, alerts.schema, "last long", "append", "NoTimeout")
 
 
-def upsert_state(stream: DataFrame, name: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str) -> DataFrame:
-    """Fold each batch into a table by ``merge(state, batch)``; a table per epoch, the last one is the state."""
-    spark, path = stream.sparkSession, scratch(stream.sparkSession, name)
-    seen: list[str] = []
+def _last_state(spark: SparkSession, path: str) -> str | None:
+    """The newest whole state table under ``path``."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state-*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    epochs = [int(x.getPath().getParent().getName().removeprefix("state-")) for x in found or ()]
+    return f"{path}/state-{max(epochs)}" if epochs else None
+
+
+def upsert_state(stream: DataFrame, name: str, merge: Callable[[DataFrame, DataFrame], DataFrame], schema: str, path: str | None = None) -> DataFrame:
+    """Fold each batch into a table by ``merge(state, batch)``; a table per epoch, the newest one is the state.
+
+    With the ``path`` of an earlier run it goes on from that run's state. An
+    epoch that is run again starts from the table of the epoch before it.
+    """
+    spark, path = stream.sparkSession, path or shared_path(stream.sparkSession, name)
 
     def fold(batch: DataFrame, epoch: int) -> None:
-        state = spark.read.parquet(seen[-1]) if seen else spark.createDataFrame([], schema)
+        state = spark.read.schema(schema).parquet(f"{path}/state-{epoch - 1}") if epoch else spark.createDataFrame([], schema)
         merge(state, batch).write.mode("overwrite").parquet(f"{path}/state-{epoch}")
-        seen.append(f"{path}/state-{epoch}")
 
     stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(seen[-1]) if seen else spark.createDataFrame([], schema)
+    last = _last_state(spark, path)
+    return spark.read.schema(schema).parquet(last) if last else spark.createDataFrame([], schema)

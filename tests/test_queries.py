@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+import marketloom.plans.article_queries
 import marketloom.plans.news_queries
 import marketloom.plans.score_queries
 import marketloom.plans.series_queries
