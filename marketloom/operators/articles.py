@@ -171,8 +171,9 @@ def key_phrases(text, most: int = 20) -> Column:
     text = F.coalesce(col(text), F.lit(""))
     terms = F.filter(listed(KEY_TERMS), lambda t: F.contains(F.lower(text), t))
     quotes = F.transform(F.filter(F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1)), lambda q: F.length(q) > 20), F.lower)
-    parts = [F.regexp_extract_all(text, F.lit(NUMBER_IN_CONTEXT), F.lit(k)) for k in (1, 2, 3)]
-    numbers = F.transform(F.arrays_zip(*(p.alias(f"p{k}") for k, p in enumerate(parts))), lambda z: F.lower(F.trim(F.concat(z["p0"], z["p1"], z["p2"]))))
+    # the text is searched once; the parts are those of each short find
+    found = F.regexp_extract_all(text, F.lit(NUMBER_IN_CONTEXT), F.lit(0))
+    numbers = F.transform(found, lambda x: F.lower(F.trim(F.concat(*(F.regexp_extract(x, NUMBER_IN_CONTEXT, k) for k in (1, 2, 3))))))
     return F.slice(F.concat(terms, quotes, numbers), 1, most)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.staging import staged
+
 
 def threshold_edges(pairs: DataFrame, least: float) -> DataFrame:
     """``a, b, weight``: pairs whose correlation is at least so strong, in either direction."""
@@ -42,3 +44,23 @@ def as_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One JSON line per node with its edges, for export in parts."""
     out = adjacency(edges).groupBy(F.col("a").alias("node")).agg(F.array_sort(F.collect_list(F.struct("b", "weight"))).alias("edges"))
     return nodes.join(out, "node", "left").select(F.to_json(F.struct("node", "edges")).alias("value"))
+
+
+def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``(node, component)``: the least node that each node of ``links`` reaches.
+
+    Each round, every node is tied to the least of its neighbours and itself,
+    and so are its neighbours; rounds grow with the logarithm of the longest
+    path. A round is a written table; a count and a hash of it reach the driver.
+    """
+    edges, before = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), None
+    while True:
+        edges = staged(edges, "edges")
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).head())
+        if now == before:
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(edges.select("a", "a").distinct())
+        before = now
+        both = edges.union(edges.select("b", "a")).toDF("n", "m")
+        least = both.groupBy("n").agg(F.min("m").alias("low")).select("n", F.least("n", "low").alias("low"))
+        tied = both.join(least, "n").select(F.col("low").alias("a"), F.col("m").alias("b")).union(least.select("low", "n"))
+        edges = tied.where("a < b").distinct()

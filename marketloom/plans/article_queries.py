@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text as tx
 from marketloom.operators import articles as ar
+from marketloom.operators import dedup as dd
 from marketloom.plans.registry import query, table
+from marketloom.staging import staged
 
 TITLE = r"^[^\n]*"
 PAGE_TITLE = "(?is)<title[^>]*>(.*?)</title>"
@@ -328,3 +330,19 @@ def article_weights(spark, sf_dir):
     for factor in ar.weight_factors(rows).values():
         weight = weight * factor
     return rows.select("doc_id", F.round(weight + 1e-9, 6).alias("weight"))
+
+
+@query()
+def near_articles(spark, sf_dir):
+    """Documents by title and key phrases: which stay in the order of ids, and how many others each is linked to."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract(F.coalesce("text", F.lit("")), TITLE, 0).alias("title"), ar.key_phrases("text").alias("phrases"))
+    links = staged(dd.near_links(rows), "near-links")
+    degree = links.select(F.explode(F.array("later", "earlier")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    return dd.kept_in_order(rows, links).join(degree, "id", "left").select(F.col("id").alias("doc_id"), "kept", "keep_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+@query()
+def batch_duplicates(spark, sf_dir):
+    """Pages in the order of ids, by URL, content, and title with key phrases."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), tx.canonical_url("url").alias("url_key"), F.md5("html").alias("content_key"), F.regexp_extract(F.coalesce("html", F.lit("")), PAGE_TITLE, 1).alias("title"), ar.key_phrases("html").alias("phrases"))
+    return dd.batch_duplicates(rows).withColumnRenamed("id", "page_id")

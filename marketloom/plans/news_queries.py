@@ -212,7 +212,8 @@ def alert_cooldown(spark, sf_dir):
 
 @query()
 def minhash_links(spark, sf_dir):
-    return dd.minhash_links(table(spark, sf_dir, "documents").where("text is not null"), "doc_id", "text")
+    """A row for each document: its class, and its links to other texts."""
+    return dd.minhash_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @query()
