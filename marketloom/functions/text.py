@@ -7,10 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Query parameters that only track, hosts that redirect and the parameters with their target, words that titles ignore.
+# Query parameters that only track, hosts that redirect and the parameters with their target, names of known hosts, the host and paths that wrap others' articles, words that titles ignore.
 TRACKING_PARAMS = ["_source", "campaign", "content", "fbclid", "gclid", "mc_cid", "mc_eid", "medium", "ref", "source", "term", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
 REDIRECT_HOSTS = ["google.com", "news.google.com", "finance.yahoo.com", "l.facebook.com", "lnkd.in"]
 REDIRECT_PARAMS = ["url", "u", "target"]
+SOURCE_NAMES = {"reuters.com": "reuters", "bloomberg.com": "bloomberg", "wsj.com": "wsj", "cnbc.com": "cnbc", "marketwatch.com": "marketwatch", "finance.yahoo.com": "yahoo", "news.google.com": "google"}
+WRAPPER_HOST, WRAPPER_PATHS = "news.google.com", ["/rss/articles/", "/articles/", "/read/"]
 TITLE_STOPWORDS = ["a", "an", "and", "as", "at", "for", "from", "in", "of", "on", "the", "to", "with"]
 # The patterns that redaction masks. The two authorisation schemes are one pattern, as either is masked whole.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
@@ -74,6 +76,36 @@ def canonical_url(url, redirects: int = 2) -> Column:
     return let(url, lambda u: F.when(u == "", "").otherwise(_one_canonical(u)))
 
 
+SCHEME_AND_HOST = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)"
+
+
+def plain_url_key(url, drop: Iterable[str] = TRACKING_PARAMS) -> Column:
+    """Scheme and host lower-cased, own ports, fragments and the parameters to ``drop`` gone, the others sorted; prefixes, paths and redirects stay."""
+    url = F.trim(F.coalesce(col(url), F.lit("")))
+    scheme, host = (F.lower(F.regexp_extract(url, SCHEME_AND_HOST, k)) for k in (1, 2))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+    pair = lambda p: F.struct(F.lower(F.substring_index(p, "=", 1)).alias("n"), F.regexp_replace(p, "^[^=]*=?", "").alias("v"), F.substring_index(p, "=", 1).alias("k"))
+    kept = F.array_sort(F.filter(F.transform(_params(url), pair), lambda p: ~p["n"].isin(list(drop))))
+    query = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
+    return F.when(scheme == "", F.lower(url)).otherwise(F.concat(scheme, F.lit("://"), host, F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1), F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def source_name(url) -> Column:
+    """The name of a URL's publisher: a known host's, else the host's first label; ``unknown`` without a host."""
+    host = F.replace(F.lower(F.regexp_extract(F.coalesce(col(url), F.lit("")), SCHEME_AND_HOST, 2)), F.lit("www."), F.lit(""))
+    names = F.create_map(*(F.lit(x) for pair in SOURCE_NAMES.items() for x in pair))
+    return F.when(host == "", "unknown").otherwise(F.coalesce(F.element_at(names, host), F.split(host, r"\.")[0]))
+
+
+def url_class(url) -> Column:
+    """Whether a URL is a wrapper of another's article, a publisher's own, or neither."""
+    url = F.coalesce(col(url), F.lit(""))
+    scheme, host = (F.lower(F.regexp_extract(url, SCHEME_AND_HOST, k)) for k in (1, 2))
+    path = F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1)
+    wrapped = (host == WRAPPER_HOST) & F.array_contains(F.transform(F.array(*map(F.lit, WRAPPER_PATHS)), lambda p: F.startswith(path, p)), True)
+    return F.when(~scheme.isin("http", "https") | (host == ""), "unsupported").when(wrapped, "wrapper").otherwise("direct_publisher")
+
+
 def normalized_title(title) -> Column:
     """Lower case; what is no letter or digit becomes one space."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(col(title), F.lit(""))), r"[^\p{L}\p{N}]+", " "))
@@ -112,6 +144,15 @@ def text_counts(text) -> dict[str, Column]:
     return {"n_words": F.size(words(text)), "n_sentences": F.regexp_count(text, F.lit(r"[.!?]+")), "n_paragraphs": F.size(F.filter(F.split(text, "\n"), lambda p: F.trim(p) != "")), "n_numbers": F.regexp_count(text, F.lit(r"\d+"))}
 
 
+def quote_count(text) -> Column:
+    return F.regexp_count(F.coalesce(col(text), F.lit("")), F.lit('"[^"]*"'))
+
+
+def readability_band(ease: Column) -> Column:
+    """A reading-ease score of 0 to 100 as 0 to 1: best from 60 to 70, less the farther from there."""
+    return F.when(ease <= 0, 0.0).when((ease >= 100) | ease.between(60, 70), 1.0).when(ease.between(40, 80), 0.8).when(ease.between(20, 90), 0.6).otherwise(0.4)
+
+
 def best_sentence(text, terms: Iterable[str]) -> Column:
     """The sentence with most terms, then most characters (240 count), the first of equals."""
     sentences = F.filter(F.split(F.coalesce(col(text), F.lit("")), r"(?<=[.!?])\s+"), lambda s: s != "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions.text import col
+from marketloom.operators import timeseries as ts
 
 # Article types in the order they are listed in, their seriousness, their patterns in the order they are tried, and which of several types is the primary one.
 ARTICLE_TYPES = [
@@ -69,6 +70,13 @@ EVENT_ALIASES = {
 BOILERPLATE = ["subscribe.*newsletter", r"follow\s+us\s+on", r"share\s+this\s+article", r"©\s*\d{4}.*", r"all\s+rights\s+reserved", r"terms\s+of\s+service", r"privacy\s+policy", r"https?://[a-zA-Z0-9$-_@.&+!*\\(),%]+", r"\S+@\S+"]
 KEY_TERMS = ["earnings per share", "revenue growth", "market cap", "price target", "quarterly results", "profit margin", "dividend yield", "book value", "return on equity", "debt to equity", "free cash flow", "operating income"]
 NUMBER_IN_CONTEXT = r"(\w+\s+)?\$?(\d+(?:\.\d+)?)\s*(?:%|billion|million|thousand)?(\s+\w+)?"
+# Event type, weight and label of each filing form, and other names of forms.
+SEC_FORMS = {
+    "8-K": ("material_event", 100, "material current report"), "10-Q": ("quarterly_report", 92, "quarterly financial report"), "10-K": ("annual_report", 96, "annual financial report"),
+    "6-K": ("foreign_issuer_report", 90, "foreign issuer report"), "SC 13D": ("ownership_event", 88, "beneficial ownership event"), "SC 13G": ("ownership_event", 84, "beneficial ownership disclosure"),
+    "DEF 14A": ("proxy_event", 78, "definitive proxy statement"), "S-1": ("registration_event", 90, "securities registration statement"), "424B": ("offering_or_prospectus", 94, "offering or prospectus update"),
+}
+SEC_ALIASES = {"13D": "SC 13D", "13G": "SC 13G", "SC13D": "SC 13D", "SC13G": "SC 13G", "DEF14A": "DEF 14A"}
 # Factors of article types and source families.
 TYPE_FACTOR = {"prediction_or_price_target_clickbait": 0.2, "generic_buy_sell_hold_opinion": 0.35, "macro_or_sector_roundup": 0.45, "analyst_rating_or_price_target": 0.65}
 FAMILY_FACTOR = {"press_release_wire": 0.65, "google_news_backstop": 0.75, "context_news_api": 0.85, "external_general_news_api": 0.75, "external_market_news_api": 0.95, "regulatory_official": 1.15, "company_ir": 1.15}
@@ -289,3 +297,46 @@ def entry_for(entries, name: str, value, field: str) -> Column:
     """``field`` of the first entry of an array of structs whose ``name`` is ``value``."""
     return F.get(F.filter(entries, lambda e: F.upper(e[name]) == F.upper(col(value))), F.lit(0))[field]
 
+
+
+def filing_form(form) -> Column:
+    """``struct(event_type, weight, label)`` of a filing's form, amendments as what they amend; null for other forms."""
+    name = F.regexp_replace(F.trim(F.regexp_replace(F.upper(F.coalesce(col(form), F.lit(""))), r"\s+", " ")), "/A$", "")
+    name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in SEC_ALIASES.items() for x in pair)), name), name)
+    name = F.when(name.startswith("424B"), "424B").otherwise(name)
+    found = None
+    for known, (kind, weight, label) in SEC_FORMS.items():
+        value = F.struct(F.lit(kind).alias("event_type"), F.lit(weight).alias("weight"), F.lit(label).alias("label"))
+        found = F.when(name == known, value) if found is None else found.when(name == known, value)
+    return found
+
+
+def days_held(purchased, as_of) -> Column:
+    """Whole days since a purchase; 0 without a date."""
+    return F.coalesce(F.datediff(F.to_date(as_of), F.to_date(purchased)), F.lit(0))
+
+
+def hours_until(moment, now) -> Column:
+    """Hours until a moment that has not passed, else null."""
+    hours = (F.unix_micros(moment.cast("timestamp")) - F.unix_micros(now.cast("timestamp"))) / 3_600_000_000
+    return F.when(hours >= 0, hours)
+
+
+def sentiment_row(scores: DataFrame, confident: float = 0.7, halflife: float = 7) -> DataFrame:
+    """One row per symbol of all its sentiment: span, smoothed, weighted by confidence, trend, spread and conviction (0 to 10).
+
+    ``scores``: ``symbol, date, value`` (-1 to 1) and ``confidence``, one row a date.
+    """
+    smooth = ts.ewma(scores.select("symbol", "date", F.col("value").cast("double").alias("value")), {"ewma": ("value", ts.alpha_of(halflife=halflife))})
+    last = smooth.groupBy("symbol").agg(F.max_by("ewma", "date").alias("ewma"))
+    weighted = F.coalesce(F.try_divide(F.sum(F.col("value") * F.col("confidence")), F.sum("confidence")), F.lit(0.0))
+    whole = scores.groupBy("symbol").agg(F.min("date").alias("period_start"), F.max("date").alias("period_end"), weighted.alias("confidence_weighted"), F.stddev_samp("value").alias("spread"), F.count("*").alias("n"), F.avg((F.col("confidence") >= confident).cast("double")).alias("confident_share"))
+    rows = whole.join(last, "symbol").join(ts.half_trend(scores, "value"), "symbol")
+    conviction = F.abs("ewma") * 5 + F.abs("confidence_weighted") * 2 + F.abs(F.coalesce("trend", F.lit(0.0))) * 3
+    return rows.withColumn("conviction", F.least(F.lit(10.0), conviction))
+
+
+def processed(articles: DataFrame, duplicate: Column, steps: dict[str, Column]) -> DataFrame:
+    """``articles`` with ``status`` and the columns of ``steps``, which duplicates skip and leave null."""
+    skip = F.coalesce(duplicate, F.lit(False))
+    return articles.withColumns({"status": F.when(skip, "skipped").otherwise("completed"), **{name: F.when(~skip, value) for name, value in steps.items()}})

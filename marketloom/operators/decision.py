@@ -165,6 +165,16 @@ def flag_enabled(user, percent: int, salt: str = "") -> Column:
     return md5_bucket(F.concat(F.lit(salt), user.cast("string"))) < percent
 
 
+def segment_enabled(segments: list[str], *columns) -> Column:
+    """On for a user any of whose columns names a target segment; null names none."""
+    return F.coalesce(*(F.when(F.col(c).isin(segments), True) for c in columns), F.lit(False))
+
+
+def canary_enabled(user, tester: Column, value: Column, percent: int, salt: str = "", least: float = 100_000) -> Column:
+    """A gradual roll-out among testers and users worth more than ``least`` alone."""
+    return (F.coalesce(tester, F.lit(False)) | F.coalesce(value > least, F.lit(False))) & flag_enabled(user, percent, salt)
+
+
 def weighted_variation(bucket: Column, weights: dict[str, int]) -> Column:
     """The variation whose cumulative weight the bucket falls below."""
     out, upto = None, 0

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import text as tx
 from marketloom.operators import articles as ar
+from marketloom.operators import decision as dc
 from marketloom.operators import dedup as dd
-from marketloom.plans.registry import query, table
+from marketloom.operators import scoring as sc
+from marketloom.plans import score_queries
+from marketloom.plans.registry import ORACLES, query, table
+from marketloom.plans.series_queries import EVENTS, daily_events
 from marketloom.staging import staged
 
 TITLE = r"^[^\n]*"
@@ -346,3 +351,70 @@ def batch_duplicates(spark, sf_dir):
     """Pages in the order of ids, by URL, content, and title with key phrases."""
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), tx.canonical_url("url").alias("url_key"), F.md5("html").alias("content_key"), F.regexp_extract(F.coalesce("html", F.lit("")), PAGE_TITLE, 1).alias("title"), ar.key_phrases("html").alias("phrases"))
     return dd.batch_duplicates(rows).withColumnRenamed("id", "page_id")
+
+
+_HOST_OF = "lower(regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2))"
+_SCHEME_OF = "lower(regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 1))"
+_PATH_OF = "regexp_extract(coalesce(url, ''), '^[^:]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""WITH u AS (SELECT page_id, trim(coalesce(url, '')) AS url FROM pages),
+  p AS (SELECT *, {_SCHEME_OF} AS scheme, {_HOST_OF} AS host, {_PATH_OF} AS path, list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '') AS params FROM u),
+  k AS (SELECT *, list_transform(list_sort(list_filter(list_transform(params, lambda x: {{'n': lower(split_part(x, '=', 1)), 'v': regexp_replace(x, '^[^=]*=?', ''), 'k': split_part(x, '=', 1)}}), lambda x: NOT list_contains({ql(tx.TRACKING_PARAMS)}, x.n))), lambda x: x.k || '=' || x.v) AS kept FROM p)
+  SELECT page_id, CASE WHEN scheme = '' THEN lower(url) ELSE scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url_key FROM k""")
+def plain_url_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.plain_url_key("url").alias("url_key"))
+
+
+@query(f"""WITH h AS (SELECT page_id, coalesce(url, '') AS url, {_SCHEME_OF} AS scheme, {_HOST_OF} AS host, {_PATH_OF} AS path FROM pages), n AS (SELECT *, replace(host, 'www.', '') AS name FROM h)
+  SELECT page_id, CASE WHEN name = '' THEN 'unknown' ELSE {case('name', tx.SOURCE_NAMES, "split_part(name, '.', 1)")} END AS source_name,
+  CASE WHEN scheme NOT IN ('http', 'https') OR host = '' THEN 'unsupported' WHEN host = {q(tx.WRAPPER_HOST)} AND ({' OR '.join(f'starts_with(path, {q(p)})' for p in tx.WRAPPER_PATHS)}) THEN 'wrapper' ELSE 'direct_publisher' END AS url_class FROM n""")
+def url_sources(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", tx.source_name("url").alias("source_name"), tx.url_class("url").alias("url_class"))
+
+
+_BUCKET = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(0, 32), lambda i: CAST(strpos('0123456789abcdef', substr(md5('plus:' || CAST(c_custkey AS VARCHAR)), CAST(i + 1 AS INTEGER), 1)) - 1 AS BIGINT))), lambda a, x: (a * 16 + x) % 100)"
+
+
+@query(f"""WITH b AS (SELECT c_custkey, c_mktsegment, c_acctbal, {_BUCKET} AS bucket FROM customer)
+  SELECT c_custkey, coalesce(c_mktsegment IN ('BUILDING', 'MACHINERY'), false) AS segment, (coalesce(c_mktsegment = 'MACHINERY', false) OR coalesce(c_acctbal > 5000, false)) AND bucket < 40 AS canary, bucket < 40 AS gradual FROM b""")
+def flag_strategies(spark, sf_dir):
+    """Market segments are a flag's segments; those of one test first, and so do large balances."""
+    user = F.col("c_custkey")
+    canary = dc.canary_enabled(user, F.col("c_mktsegment") == "MACHINERY", F.col("c_acctbal"), 40, "plus:", 5000)
+    return table(spark, sf_dir, "customer").select("c_custkey", dc.segment_enabled(["BUILDING", "MACHINERY"], "c_mktsegment").alias("segment"), canary.alias("canary"), dc.flag_enabled(user, 40, "plus:").alias("gradual"))
+
+
+@query("""WITH t AS (SELECT max(o_orderdate) AS now FROM orders), o AS (SELECT *, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS next FROM orders)
+  SELECT o_orderkey, coalesce(date_diff('day', CAST(o_orderdate AS DATE), CAST(now AS DATE)), 0) AS days_held, CASE WHEN next >= o_orderdate THEN (epoch_us(next) - epoch_us(o_orderdate)) / 3600000000.0 END AS hours_until FROM o, t""")
+def holding_times(spark, sf_dir):
+    """Days that each order has been held, and hours from it to its customer's next one."""
+    rows = table(spark, sf_dir, "orders")
+    after = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    now = F.broadcast(rows.agg(F.max("o_orderdate").alias("now")))  # one row
+    return rows.withColumn("next", after).join(now).select("o_orderkey", ar.days_held(F.col("o_orderdate"), F.col("now")).cast("long").alias("days_held"), ar.hours_until(F.col("next"), F.col("o_orderdate")).alias("hours_until"))
+
+
+@query(EVENTS + f""", s AS (SELECT symbol, date, CASE WHEN value > 12 THEN 1.0 WHEN value < 6 THEN -1.0 ELSE 0.0 END AS value, least(1.0, n / 20.0) AS confidence FROM daily),
+  k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS r, count(*) OVER (PARTITION BY symbol) AS c FROM s),
+  g AS (SELECT symbol, min(date) AS period_start, max(date) AS period_end, coalesce(sum(value * confidence) / nullif(sum(confidence), 0), 0) AS cw, stddev_samp(value) AS spread, count(*) AS n, avg(CAST(confidence >= 0.7 AS DOUBLE)) AS share,
+  sum(value * power(0.5, (c - r) / 7.0)) / sum(power(0.5, (c - r) / 7.0)) AS ewma, avg(value) FILTER (r > c // 2) - avg(value) FILTER (r <= c // 2) AS trend FROM k GROUP BY symbol)
+  SELECT symbol, period_start, period_end, n, round(cw + 1e-9, 5) AS confidence_weighted, round(spread, 5) AS spread, round(share, 5) AS confident_share, round(ewma + 1e-9, 5) AS ewma, round(trend + 1e-9, 5) AS trend, round(least(10.0, abs(ewma) * 5 + abs(cw) * 2 + abs(coalesce(trend, 0)) * 3) + 1e-9, 5) AS conviction FROM g""")
+def sentiment_rows(spark, sf_dir):
+    """A row for each event type; its day's value is a label, and its number of events how sure that is."""
+    value = F.when(F.col("value") > 12, 1.0).when(F.col("value") < 6, -1.0).otherwise(0.0)
+    out = ar.sentiment_row(daily_events(spark, sf_dir).select("symbol", "date", value.alias("value"), F.least(F.lit(1.0), F.col("n") / 20).alias("confidence")))
+    near = lambda c: F.round(F.col(c) + 1e-9, 5).alias(c)
+    return out.select("symbol", "period_start", "period_end", "n", near("confidence_weighted"), F.round("spread", 5).alias("spread"), F.round("confident_share", 5).alias("confident_share"), near("ewma"), near("trend"), near("conviction"))
+
+
+@query(f"""WITH r AS ({ORACLES["keyword_relevance"]}), e AS ({ORACLES["extraction_quality"]}), g AS (SELECT md5(text) AS h, min(doc_id) AS first FROM documents WHERE coalesce(text, '') <> '' GROUP BY 1),
+  d AS (SELECT doc_id, coalesce(first < doc_id, false) AS again FROM documents LEFT JOIN g ON md5(text) = h)
+  SELECT doc_id, CASE WHEN again THEN 'skipped' ELSE 'completed' END AS status, CASE WHEN NOT again THEN relevance END AS relevance, CASE WHEN NOT again THEN quality END AS quality FROM d JOIN r USING (doc_id) JOIN e USING (doc_id)""")
+def article_processing(spark, sf_dir):
+    """Documents whose text an earlier one has are skipped; the rest are scored for relevance and quality."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(text == "", F.concat(F.lit("id "), F.col("doc_id").cast("string"))).otherwise(F.md5("text")).alias("key"))
+    marked = dd.first_per_key(docs, "key", "doc_id")
+    steps = {"relevance": F.round(sc.keyword_relevance(F.col("text"), score_queries.CATEGORIES), 6), "quality": sc.text_quality(text, tx.text_counts("text")["n_sentences"])}
+    return ar.processed(marked, F.col("is_duplicate"), steps).select("doc_id", "status", *steps)

@@ -181,16 +181,16 @@ def token_estimates(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"))
 
 
-_WORDS = {"companies": (["the", "hand"], 0.4), "markets": (["und", "der"], 0.3), "economics": (["ción", "del"], 0.2), "crypto": (["que"], 0.1)}
+CATEGORIES = {"companies": (["the", "hand"], 0.4), "markets": (["und", "der"], 0.3), "economics": (["ción", "del"], 0.2), "crypto": (["que"], 0.1)}
 
 
 def _category(words, weight) -> str:
     return "least(1.0, (" + " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in words) + f") / {len(words)}.0 * 3) * {weight}"
 
 
-@query("WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE round(CAST(least(1.0, " + " + ".join(_category(w, x) for w, x in _WORDS.values()) + ") AS DOUBLE), 6) END AS relevance FROM d")
+@query("WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents) SELECT doc_id, CASE WHEN trim(t) = '' THEN 0 ELSE round(CAST(least(1.0, " + " + ".join(_category(w, x) for w, x in CATEGORIES.values()) + ") AS DOUBLE), 6) END AS relevance FROM d")
 def keyword_relevance(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", r(sc.keyword_relevance(F.col("text"), _WORDS)).alias("relevance"))
+    return table(spark, sf_dir, "documents").select("doc_id", r(sc.keyword_relevance(F.col("text"), CATEGORIES)).alias("relevance"))
 
 
 @query("""WITH s AS (SELECT event_id, CASE WHEN value > 15 THEN 2 ELSE 0 END + CASE WHEN user_id % 5 > 3 THEN 2 ELSE 0 END + CASE WHEN user_id % 3 = 2 THEN 1 ELSE 0 END + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS up,

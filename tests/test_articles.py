@@ -82,3 +82,18 @@ def test_state_goes_on_where_it_stopped(spark, tmp_path):
     assert upsert_state(stream(), "sums", merge, "k long, n long", sink).count() == 2
     spark.createDataFrame([(2, 5), (3, 1)], "k long, n long").write.mode("append").parquet(source)
     assert {r.k: r.n for r in upsert_state(stream(), "sums", merge, "k long, n long", sink).collect()} == {1: 1, 2: 6, 3: 1}
+
+
+def test_forms_urls_flags_and_bands(spark):
+    forms = [("8-k/a", "material_event"), (" sc13g ", "ownership_event"), ("424B5", "offering_or_prospectus"), ("def  14a", "proxy_event"), ("10-K405", None), (None, None)]
+    df = spark.createDataFrame(forms, "form string, kind string")
+    assert all(r.kind == (r.f.event_type if r.f else None) for r in df.select("kind", ar.filing_form("form").alias("f")).collect())
+    urls = [
+        ("HTTPS://WWW.Reuters.com:443/A/?b=2&utm_source=x&a=1#f", "https://www.reuters.com/A/?a=1&b=2", "reuters", "direct_publisher"), ("http://News.google.com/rss/articles/1?oc=5", "http://news.google.com/rss/articles/1?oc=5", "google", "wrapper"),
+        ("http://news.google.com:80/topics", "http://news.google.com/topics", "news", "direct_publisher"), ("ftp://a.b/c", "ftp://a.b/c", "a", "unsupported"), ("No URL", "no url", "unknown", "unsupported"), (None, "", "unknown", "unsupported"),
+    ]
+    got = spark.createDataFrame(urls, "url string, key string, name string, kind string").select("*", tx.plain_url_key("url").alias("k"), tx.source_name("url").alias("n"), tx.url_class("url").alias("c")).collect()
+    assert [(r.k, r.n, r.c) for r in got] == [(r.key, r.name, r.kind) for r in got]
+    bands = spark.createDataFrame([(-1.0, 0.0), (100.0, 1.0), (65.0, 1.0), (45.0, 0.8), (85.0, 0.6), (95.0, 0.4), (10.0, 0.4)], "ease double, band double")
+    assert all(r.band == r.b for r in bands.select("band", tx.readability_band(F.col("ease")).alias("b")).collect())
+    assert spark.range(1).select(tx.quote_count(F.lit('"a" and "b')).alias("n")).head().n == 1
