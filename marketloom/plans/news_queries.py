@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text as tx
 from marketloom.operators import decision as dc
+from marketloom.operators import articles as ar
 from marketloom.operators import dedup as dd
 from marketloom.operators import events as ev
 from marketloom.plans.registry import query, table
@@ -218,9 +219,11 @@ def minhash_links(spark, sf_dir):
 
 @query()
 def leader_clusters(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    rows = docs.select(F.col("doc_id").alias("seq"), F.lit("").alias("url_key"), tx.normalized_title(F.substring("text", 1, 80)).alias("title_key"), F.array(F.coalesce("lang", F.lit(""))).alias("tickers"), F.lit(None).cast("date").alias("day"), "source", F.floor(F.col("doc_id") / 1000).cast("long").alias("run"))
-    return dd.leader_clusters(rows, ["source", "run"])
+    """Pages of each host in the order of ids; the language in a page's path stands for its tickers."""
+    title = F.regexp_extract(F.coalesce("html", F.lit("")), "(?is)<title[^>]*>(.*?)</title>", 1)
+    path = F.split(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[^:]*://[^/?#]*/([^?#]*)", 1), "/")[0]
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("seq"), tx.url_host(F.coalesce("url", F.lit(""))).alias("host"), tx.canonical_url("url").alias("url_key"), tx.normalized_title(title).alias("title_key"), F.when(path == "", F.array().cast("array<string>")).otherwise(F.array(path)).alias("tickers"), F.lit(None).cast("date").alias("day"), ar.event_types(title).alias("types"))
+    return dd.leader_clusters(rows, ["host"], stories=True)
 
 
 @query()
