@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marketloom.staging import shared_path, staged
+
 
 def top_per_group(rows: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group with their rank; tasks keep k rows of a group before the shuffle."""
@@ -95,11 +97,25 @@ def cosine(a: str, b: str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, similarity, rank``: the nearest vectors of a stated, small query set.
+#: Queries that are broadcast at once; some 2 MB at 128 dimensions.
+QUERY_BLOCK = 2000
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """``query_id, vec_id, similarity, rank``: the nearest vectors of a stated query set.
 
-    ``queries`` (query_id, query) are broadcast in full; every task keeps k
-    rows a query before the shuffle.
+    Queries (query_id, query) are dealt into blocks of about ``block`` rows, one
+    more for each partition they come from at most; each block is broadcast and
+    meets all vectors in one pass, after which only its k best a query remain,
+    in a table of the block's own.
     """
-    pairs = vectors.join(F.broadcast(queries)).where("query_id <> vec_id").select("query_id", "vec_id", cosine("query", "embedding").alias("similarity"))
-    return top_per_group(pairs, "query_id", [F.desc("similarity"), F.asc("vec_id")], k)
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    root = shared_path(spark, "nearest")
+    dealt = staged(queries.select("query_id", "query", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block")), "queries")
+    for b in range(blocks):
+        some = F.broadcast(dealt.where(F.col("block") == b).drop("block"))
+        pairs = vectors.join(some).where("query_id <> vec_id").select("query_id", "vec_id", cosine("query", "embedding").alias("similarity"))
+        out = top_per_group(pairs, "query_id", [F.desc("similarity"), F.asc("vec_id")], k)
+        out.write.parquet(f"{root}/block={b}")
+    return spark.read.schema(out.schema).parquet(*(f"{root}/block={b}" for b in range(blocks)))

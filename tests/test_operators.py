@@ -274,3 +274,21 @@ def test_run_table_replaces_its_partitions_only(spark, tmp_path):
     files.write_run_table(spark.createDataFrame([(1, "a"), (2, "b")], "x int, run_id string"), path)
     files.write_run_table(spark.createDataFrame([(3, "b")], "x int, run_id string"), path)
     assert sorted((r.x, r.run_id) for r in spark.read.parquet(path).collect()) == [(1, "a"), (3, "b")]
+
+
+def test_cosine_blocks(spark):
+    from marketloom.operators import ranking as rk
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([0.0, 1.0, 2.0]) for _ in range(4)]) for i in range(40)] + [(40, [0.0] * 4), (41, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    many, one = ({tuple(r) for r in rk.cosine_topk(queries, vectors, 5, block).collect()} for block in (4, 100))
+    assert many == one and len(one) == 14 * 5
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    for q, v in rows[0:40:3]:
+        near = sorted(((-sum(a * b for a, b in zip(v, w)) / (length(v) * length(w)) if length(v) * length(w) else 9, i) for i, w in rows[:41] if i != q))[:5] if length(v) else None
+        if near:
+            got = sorted((r[3], -r[2]) for r in one if r[0] == q)
+            assert [round(s, 9) for _, s in got] == [round(s, 9) for s, _ in near]
+    assert rk.cosine_topk(queries.limit(0), vectors, 5).count() == 0
