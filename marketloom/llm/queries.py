@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from marketloom.llm import bpe, chat, decontam, exact_dedup, langid, simhash, substring_dedup, training_order, url_filter, warc
+from marketloom.llm import bpe, chat, decontam, exact_dedup, langid, quality, repair, simhash, substring_dedup, training_order, url_filter, warc, whitening
 from marketloom.llm.common import table
 
 TRAINING_KEY = 20_240_229
@@ -93,8 +93,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audit(table(spark, sf_dir, "conversations"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=8)
+
+
 def queries() -> dict:
-    named = (op1_training_order, op2_warc_archive, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_chat_format, op7_language_id, op8_url_filter, op9_simhash, op10_decontamination)
+    named = (op1_training_order, op2_warc_archive, op3_exact_dedup, op4_substring_dedup, op5_bpe, op6_chat_format, op7_language_id, op8_url_filter, op9_simhash, op10_decontamination, op11_structure_repair, op12_quality_rules, op13_whitening)
     return {f.__name__: f for f in named}
 
 
@@ -151,5 +163,50 @@ SELECT s.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM s
 """
 
 
+def _op11() -> str:
+    """Costs, edits and lines of every state, row by row from the end; the checksum is worked out from its polynomial."""
+    empty, expected, kept = "{'c': 0, 'a': '', 'r': []::VARCHAR[]}", {0: 2, 1: 2, 2: 3, 3: 2}, {0: "s1u2", 1: "u2", 2: "a3", 3: "u2"}
+    name = {2: "user", 3: "assistant"}
+
+    def way(cost: str, letter: str, then: str, line: str | None = None) -> str:
+        return f"{{'c': {then}.c + {cost}, 'a': '{letter}' || {then}.a, 'r': {f'list_prepend({line}, {then}.r)' if line else f'{then}.r'}}}"
+
+    def row(state: int) -> str:
+        ways = [way("3", "D", f"g{state}"), f"CASE WHEN NOT gone THEN {way('2 + cut', 'R', f'g{expected[state]}', f"""'{name[expected[state]]}:' || text""")} END"]
+        for initial, then in zip(kept[state][::2], kept[state][1::2]):
+            ways.append(f"CASE WHEN NOT gone AND role[1] = '{initial}' THEN {way('cut', 'K', f'g{then}', "role || ':' || text")} END")
+        return f"list_min([{', '.join(ways)}]) AS h{state}"
+
+    def with_insert(state: int, of: str) -> str:
+        return f"list_min([h{state}, {way('2', 'I', f'{of}{expected[state]}', f"'{name[expected[state]]}:'")}])"
+
+    return rf"""
+WITH RECURSIVE
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) AS x(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, t,
+  list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS codes FROM conversations, crc),
+fated AS (SELECT conv_id, turn, role, text, xor(list_reduce(codes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS fate FROM keyed),
+damaged AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE fate WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM fated WHERE fate <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, regexp_replace(text, '[ 	-]+$', '') AS body FROM damaged),
+faults AS (SELECT conv_id, turn, role, text, pos, body = '' AS blank, body <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS duplicate,
+  right(body, 1) NOT IN ('.', '!', '?') AS open, coalesce(lag(role) OVER (PARTITION BY conv_id ORDER BY pos)[1] || role[1] NOT IN ('su', 'ua', 'au'), false) AS illegal FROM placed),
+marked AS (SELECT conv_id, turn, role, text, pos, blank, duplicate, illegal, blank OR duplicate AS gone, open AND NOT blank AND NOT duplicate AS truncated, CAST(open AS INTEGER) AS cut FROM faults),
+totals AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+  count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal, count(*) AS n FROM marked GROUP BY conv_id),
+walk AS (
+  SELECT conv_id, n AS left_rows, {empty} AS g0, {{'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}} AS g1, {{'c': 2, 'a': 'I', 'r': ['assistant:']}} AS g2, {empty} AS g3 FROM totals
+  UNION ALL
+  SELECT conv_id, left_rows, list_min([h0, {way("2", "I", "k2", "'user:'")}]) AS g0, list_min([h1, {way("2", "I", "k2", "'user:'")}]) AS g1, k2 AS g2, k3 AS g3
+  FROM (SELECT *, {with_insert(2, "h")} AS k2, {with_insert(3, "h")} AS k3
+    FROM (SELECT w.conv_id, left_rows - 1 AS left_rows, {row(0)}, {row(1)}, {row(2)}, {row(3)} FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.left_rows))),
+ends AS (SELECT conv_id, g0 FROM walk WHERE left_rows = 0),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(g0.c, 0) AS BIGINT) AS cost, coalesce(g0.a, '') AS audit, sha256(coalesce(array_to_string(g0.r, chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ends d ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": _OP2, "op3_exact_dedup": _OP3, "op4_substring_dedup": _OP4, "op6_chat_format": _OP6, "op8_url_filter": _OP8}
+    return {"op11_structure_repair": _op11(), "op2_warc_archive": _OP2, "op3_exact_dedup": _OP3, "op4_substring_dedup": _OP4, "op6_chat_format": _OP6, "op8_url_filter": _OP8}
