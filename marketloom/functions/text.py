@@ -14,6 +14,14 @@ REDIRECT_PARAMS = ["url", "u", "target"]
 SOURCE_NAMES = {"reuters.com": "reuters", "bloomberg.com": "bloomberg", "wsj.com": "wsj", "cnbc.com": "cnbc", "marketwatch.com": "marketwatch", "finance.yahoo.com": "yahoo", "news.google.com": "google"}
 WRAPPER_HOST, WRAPPER_PATHS = "news.google.com", ["/rss/articles/", "/articles/", "/read/"]
 TITLE_STOPWORDS = ["a", "an", "and", "as", "at", "for", "from", "in", "of", "on", "the", "to", "with"]
+# English stop words.
+STOP_WORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their",
+    "theirs", "themselves", "what", "which", "who", "whom", "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the",
+    "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in",
+    "out", "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+]
 # The patterns that redaction masks. The two authorisation schemes are one pattern, as either is masked whole.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 KEY_VALUE = r"(?i)(password|passwd|pwd|secret|token|key|auth)['\"\s]*[:=]['\"\s]*([^\s'\"&<>]+)"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.functions.text import col
+from marketloom.functions.text import col, let
 from marketloom.operators import timeseries as ts
 
 # Article types in the order they are listed in, their seriousness, their patterns in the order they are tried, and which of several types is the primary one.
@@ -102,11 +105,21 @@ def listed(values: Iterable[str]) -> Column:
     return F.array(*map(F.lit, values))
 
 
+def needed(pattern: str) -> str:
+    """The longest plain run of characters that whatever matches the pattern has."""
+    plain = re.sub(r"\\[bd]|\(\?:[^)]*\)\??|\[[^]]*\]\??|.[?*+]", "\n", pattern)
+    return max(plain.split("\n"), key=len)
+
+
+def matches_any(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of the patterns occurs; a pattern is tried only where the plain run that it needs is there."""
+    return reduce(or_, (text.contains(needed(p)) & text.rlike(bounded(p)) for p in patterns))
+
+
 def event_types(text) -> Column:
     """All article types whose patterns a text has, in their order; ``unknown`` if none."""
-    text = one_line(text)
-    found = F.filter(F.array(*(F.when(text.rlike(any_of(PATTERNS[t])), F.lit(t)) for t in ARTICLE_TYPES)), lambda t: t.isNotNull())
-    return F.when(F.size(found) == 0, listed(["unknown"])).otherwise(found)
+    of = lambda t: F.filter(F.array(*(F.when(matches_any(t, PATTERNS[x]), F.lit(x)) for x in ARTICLE_TYPES)), lambda x: x.isNotNull())
+    return let(let(one_line(text), of), lambda found: F.when(F.size(found) == 0, listed(["unknown"])).otherwise(found))
 
 
 def primary_type(types) -> Column:
@@ -114,15 +127,18 @@ def primary_type(types) -> Column:
     return F.coalesce(*(F.when(F.array_contains(types, t), F.lit(t)) for t in PRECEDENCE), F.lit("unknown"))
 
 
+def _of_both(title: Column, whole: Column) -> Column:
+    known = F.array_intersect(listed(ARTICLE_TYPES), F.array_union(title, whole))
+    first = primary_type(title)
+    types = F.when(F.size(known) == 0, listed(["unknown"])).otherwise(known)
+    return F.struct(types.alias("event_types"), F.when(first != "unknown", first).otherwise(primary_type(whole)).alias("primary_type"))
+
+
 def classified(articles: DataFrame, title: str = "title", text: str = "text") -> DataFrame:
     """``articles`` with ``event_types``, ``primary_type`` and ``seriousness``; what the title says goes first."""
-    whole = F.concat_ws(" ", title, text)
-    rows = articles.withColumns({"_title": event_types(title), "_whole": event_types(whole)})
-    both = F.array_union("_title", "_whole")
-    known = F.filter(listed([*ARTICLE_TYPES]), lambda t: F.array_contains(both, t))
-    first = primary_type(F.col("_title"))
-    rows = rows.withColumns({"event_types": F.when(F.size(known) == 0, listed(["unknown"])).otherwise(known), "primary_type": F.when(first != "unknown", first).otherwise(primary_type(F.col("_whole")))})
-    return rows.withColumn("seriousness", mapped("primary_type", SERIOUSNESS)).drop("_title", "_whole")
+    found = F.struct(event_types(title).alias("title"), event_types(F.concat_ws(" ", title, text)).alias("whole"))
+    rows = articles.withColumn("_types", let(found, lambda x: _of_both(x["title"], x["whole"]))).select("*", "_types.*").drop("_types")
+    return rows.withColumn("seriousness", mapped("primary_type", SERIOUSNESS))
 
 
 def mapped(column, values: dict, default=None) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from marketloom.functions import text as tx
 from marketloom.operators import articles as ar
 from marketloom.operators import scoring
+from marketloom.plans import article_queries
 
 
 @pytest.mark.parametrize(
@@ -97,3 +101,17 @@ def test_forms_urls_flags_and_bands(spark):
     bands = spark.createDataFrame([(-1.0, 0.0), (100.0, 1.0), (65.0, 1.0), (45.0, 0.8), (85.0, 0.6), (95.0, 0.4), (10.0, 0.4)], "ease double, band double")
     assert all(r.band == r.b for r in bands.select("band", tx.readability_band(F.col("ease")).alias("b")).collect())
     assert spark.range(1).select(tx.quote_count(F.lit('"a" and "b')).alias("n")).head().n == 1
+
+
+def test_types_of_whole_texts_take_seconds(spark):
+    """A thousand whole texts; it took minutes when patterns ran again for each type."""
+    began = time.monotonic()
+    assert article_queries.article_type_counts(spark, "/root/testdata/sf0.01").collect()
+    assert time.monotonic() - began < 40
+
+
+def test_needed_runs_are_in_what_matches():
+    said = "raises its revenue view. why the big stock popped. q3 quarter. could soar 20%. orders bookings chips data centre form 8-k ai upgraded 13f. partners with"
+    for pattern in sum(ar.PATTERNS.values(), []):
+        assert len(ar.needed(pattern)) > 1
+        assert all(ar.needed(pattern) in m.group() for m in re.finditer(pattern, said))

@@ -10,6 +10,7 @@ import marketloom.plans.article_queries
 import marketloom.plans.news_queries
 import marketloom.plans.score_queries
 import marketloom.plans.series_queries
+import marketloom.plans.story_queries
 import marketloom.plans.stream_queries
 import marketloom.plans.table_queries  # noqa: F401
 from marketloom.plans.registry import ORACLES, QUERIES
