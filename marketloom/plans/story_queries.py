@@ -1,4 +1,4 @@
-"""Companies in articles and weighted fingerprints."""
+"""Companies in articles, weighted fingerprints, and streams with timers."""
 
 from __future__ import annotations
 
@@ -9,6 +9,9 @@ from marketloom.operators import entities as en
 from marketloom.operators import fingerprints as fp
 from marketloom.plans.news_queries import sql_list
 from marketloom.plans.registry import query, table
+from marketloom.staging import shared_path, staged
+from marketloom.streaming import events as st
+from marketloom.streaming import state as ss
 
 _DIRECTORY = r"""
 w AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
@@ -67,3 +70,47 @@ def fingerprint_links(spark, sf_dir):
 @query()
 def fingerprint_classes(spark, sf_dir):
     return fp.fingerprint_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_STATES = """e AS (SELECT event_id, user_id AS key, epoch_us(ts) AS t, event_type = 'error' AS bad FROM events), wm AS (SELECT (max(t) // 1000) * 1000 - 600000000 AS wm FROM e)"""
+
+
+def _events(spark, sf_dir):
+    return st.read_events(spark, sf_dir).select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("bad"), (F.col("event_type") == "error").alias("failed"))
+
+
+def _utc(*columns):
+    return [F.col(c).cast("timestamp_ntz").alias(c) for c in columns]
+
+
+# failures since the last success, three to a round; a redelivery is due unless another result comes before it
+@query(f"""WITH {_STATES}, r AS (SELECT *, sum(CAST(NOT bad AS INTEGER)) OVER (PARTITION BY key ORDER BY t, event_id) AS run, lead(t) OVER (PARTITION BY key ORDER BY t, event_id) AS next_t FROM e),
+  n AS (SELECT *, row_number() OVER (PARTITION BY key, run ORDER BY t, event_id) AS k FROM r WHERE bad), a AS (SELECT *, (k - 1) % 3 + 1 AS attempts FROM n)
+  SELECT key, 'dead' AS action, CAST(attempts AS INTEGER) AS attempts, make_timestamp(t) AS at FROM a WHERE attempts = 3
+  UNION ALL SELECT key, 'retry', CAST(attempts AS INTEGER), make_timestamp(t + CAST(power(2, attempts) AS BIGINT) * 1000000) FROM a, wm WHERE attempts < 3 AND coalesce(t + CAST(power(2, attempts) AS BIGINT) * 1000000 <= next_t, ((t + CAST(power(2, attempts) AS BIGINT) * 1000000 + 999) // 1000) * 1000 <= wm)""")
+def stream_redelivery(spark, sf_dir):
+    # nothing is forgotten within a year, so that the number of attempts depends on the results alone
+    return st.run_to_table(ss.keyed(_events(spark, sf_dir), "user_id", ss.Redelivery(forget=31_536_000)), "redelivery").select("key", "action", "attempts", *_utc("at"))
+
+
+# an alert is new after a good event or a day without a bad one
+@query(f"""WITH {_STATES}, r AS (SELECT *, sum(CAST(NOT bad AS INTEGER)) OVER (PARTITION BY key ORDER BY t, event_id) AS run FROM e),
+  b AS (SELECT *, coalesce(CAST(t >= lag(t) OVER (PARTITION BY key, run ORDER BY t, event_id) + 86400000000 AS INTEGER), 1) AS new FROM r WHERE bad), g AS (SELECT *, sum(new) OVER (PARTITION BY key, run ORDER BY t, event_id) AS part FROM b),
+  a AS (SELECT key, run, part, min(t) AS opened, max(t) AS seen, count(*) AS n FROM g GROUP BY key, run, part), z AS (SELECT a.*, (SELECT min(t) FROM r WHERE NOT r.bad AND r.key = a.key AND r.run = a.run + 1) AS good FROM a)
+  SELECT key, 'opened' AS state, make_timestamp(opened) AS opened, make_timestamp(opened) AS at, 1 AS n FROM a
+  UNION ALL SELECT key, 'resolved', make_timestamp(opened), make_timestamp(good), n FROM z WHERE good < seen + 86400000000
+  UNION ALL SELECT key, 'expired', make_timestamp(opened), make_timestamp(seen + 86400000000), n FROM z, wm WHERE coalesce(good, 9e18) >= seen + 86400000000 AND (good IS NOT NULL OR EXISTS (SELECT 1 FROM e WHERE e.key = z.key AND e.t >= seen + 86400000000) OR ((seen + 86400000999) // 1000) * 1000 <= wm)""")
+def stream_alert_states(spark, sf_dir):
+    return st.run_to_table(ss.keyed(_events(spark, sf_dir), "user_id", ss.AlertStates(days=1)), "alert-states").select("key", "state", *_utc("opened", "at"), "n")
+
+
+@query()
+def stream_near_duplicates(spark, sf_dir):
+    """Documents as a stream of fingerprints, marked by the index that grows with them."""
+    prints = fp.weighted_fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("doc_id").alias("id"), F.timestamp_seconds("doc_id").alias("ts"), F.col("fingerprint").alias("fp"))
+    prints, path, index = staged(prints, "prints"), shared_path(spark, "print-stream"), shared_path(spark, "near-duplicates")
+    middle = prints.agg(F.percentile_approx("id", 0.5)).head()[0] or 0
+    for part in (F.col("id") <= middle, F.col("id") > middle):  # the second half finds the index of the first
+        prints.where(part).write.mode("append").parquet(path)
+        marked = ss.near_duplicate_stream(spark.readStream.schema(prints.schema).parquet(path), "near-duplicates", path=index)
+    return marked.select(F.col("id").alias("doc_id"), F.col("fp").alias("fingerprint"), F.col("keep_id").isNull().alias("kept"), F.coalesce("keep_id", "id").alias("keep_id"))
