@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 
+# The least users of a variation, the effect that is stated where nothing can be tested, and the published coefficients of the error function and of the normal distribution's inverse.
+MIN_SAMPLE, NO_TEST_MDE = 100, 0.05
+ERF_SERIES = [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+ACKLAM_A = [2.506628277459239e00, -3.066479806614716e01, 1.383577518672690e02, -2.759285104469687e02, 2.209460984245205e02, -3.969683028665376e01]
+ACKLAM_B = [-1.328068155288572e01, 6.680131188771972e01, -1.556989798598866e02, 1.615858368580409e02, -5.447609879822406e01]
+ACKLAM_C = [2.938163982698783e00, 4.374664141464968e00, -2.549732539343734e00, -2.400758277161838e00, -3.223964580411365e-01, -7.784894002430293e-03]
+ACKLAM_D = [3.754408661907416e00, 2.445134137142996e00, 3.224671290700398e-01, 7.784695709041462e-03]
+
+
 def weighted_mean(value: str, weight: str, default: float = 0.0, digits: int = 4) -> Column:
     return F.round(F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.nullif(F.sum(weight), F.lit(0))), F.lit(default)), digits)
 
@@ -131,22 +140,73 @@ def breakdown(events: DataFrame, variation: str, event: str) -> DataFrame:
     return by.groupBy(variation).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(event, "n")))).alias("events"))
 
 
-def z_test(metrics: DataFrame, variation: str, control: str) -> DataFrame:
-    """Two-proportion z-test of each variation against the control, one row each.
+def polynomial(x: Column, coefficients: Sequence[float]) -> Column:
+    """From the constant on, by Horner's rule."""
+    out = F.lit(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
 
-    ``p_value`` comes from the error function's series of Abramowitz and
-    Stegun 7.1.26, good to 1.5e-7.
-    """
+
+def normal_cdf(x: Column) -> Column:
+    """The normal distribution, by the error function's series of Abramowitz and Stegun 7.1.26, good to 1.5e-7."""
+    z = F.abs(x) / math.sqrt(2)
+    t = 1 / (1 + 0.3275911 * z)
+    tail = polynomial(t, ERF_SERIES) * t * F.exp(-z * z) / 2
+    return F.when(x >= 0, 1 - tail).otherwise(tail)
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the normal distribution (Acklam), good to 1.2e-9 of the value; null beyond 0 to 1."""
+    q = p - 0.5
+    centre = polynomial(q * q, ACKLAM_A) * q / (polynomial(q * q, ACKLAM_B) * q * q + 1)
+    r = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    tail = polynomial(r, ACKLAM_C) / (polynomial(r, ACKLAM_D) * r + 1)
+    return F.when((p > 0) & (p < 1), F.when(p < 0.02425, tail).when(p > 1 - 0.02425, -tail).otherwise(centre))
+
+
+def z_test(metrics: DataFrame, variation: str, control: str) -> DataFrame:
+    """Two-proportion z-test of each variation against the control, one row each."""
     base = metrics.where(F.col(variation) == control).select(F.col("users").alias("_n0"), F.col("rate").alias("_p0"))
     rows = metrics.where(F.col(variation) != control).join(F.broadcast(base))
     n1, p1, n0, p0 = F.col("users"), F.col("rate"), F.col("_n0"), F.col("_p0")
     pooled = (n1 * p1 + n0 * p0) / (n1 + n0)
     se = F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
     out = rows.withColumns({"z": F.try_divide(p1 - p0, se), "lift": F.try_divide(p1 - p0, p0), "cohens_h": 2 * F.asin(F.sqrt(p1)) - 2 * F.asin(F.sqrt(p0)), "_u": F.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)})
-    x = F.abs("z") / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = ((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592
-    return out.select(variation, "z", "lift", "cohens_h", (p1 - p0 - 1.959964 * F.col("_u")).alias("ci_low"), (p1 - p0 + 1.959964 * F.col("_u")).alias("ci_high"), (poly * t * F.exp(-x * x)).alias("p_value"))
+    p_value = 2 * (1 - normal_cdf(F.abs("z")))
+    return out.select(variation, "z", "lift", "cohens_h", (p1 - p0 - 1.959964 * F.col("_u")).alias("ci_low"), (p1 - p0 + 1.959964 * F.col("_u")).alias("ci_high"), p_value.alias("p_value"))
+
+
+def experiment_plan(metrics: DataFrame, variation: str, control: str, confidence: float = 0.95, power: float = 0.8) -> DataFrame:
+    """What a test could find, a row for each variation: significance, least detectable effect, power, sample size for that effect, winner and advice.
+
+    The effect is Cohen's h of the control against the variation; the least
+    effect supposes a base rate of a tenth, and the size is ``MIN_SAMPLE`` at
+    least. Without users on a side, or without any spread, nothing is
+    significant and the power is zero.
+    """
+    tested = z_test(metrics, variation, control).select(variation, "z", "p_value", "lift", (-F.col("cohens_h")).alias("effect_size"))
+    base = metrics.where(F.col(variation) == control).select(F.col("users").alias("_n0"), F.col("rate").alias("_p0"))
+    rows = metrics.select(variation, F.col("users").alias("_n1"), F.col("rate").alias("_p1")).join(tested, variation).join(F.broadcast(base))
+    n1, n0, h = F.col("_n1"), F.col("_n0"), F.col("effect_size")
+    alpha, beta = normal_quantile(F.lit(1 - (1 - confidence) / 2)), normal_quantile(F.lit(power))
+    mean_n = F.try_divide(F.lit(2.0), F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n0))
+    rows = rows.withColumn("mde", F.coalesce((alpha + beta) * F.sqrt(F.lit(2 * 0.1 * 0.9) / mean_n), F.lit(0.0)))
+    reached = F.when((n1 > 0) & (n0 > 0) & (h != 0), normal_cdf(h * F.sqrt(mean_n / 2) - alpha)).otherwise(0.0)
+    p2 = F.col("_p0") + F.col("mde")
+    middle = (F.col("_p0") + p2) / 2
+    size = F.when((F.col("_p0") == 0) | (F.col("mde") == 0), MIN_SAMPLE).otherwise(F.greatest(F.lit(MIN_SAMPLE), F.floor(2 * (alpha + beta) ** 2 * middle * (1 - middle) / (p2 - F.col("_p0")) ** 2)))
+    p = F.col("p_value")
+    label = F.when(F.col("z").isNull(), "not_significant").when(p < 0.01, "highly_significant").when(p < 0.05, "significant").when(p < 0.1, "marginally_significant").otherwise("not_significant")
+    rows = rows.withColumns({"power": F.when(F.col("z").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), reached))), "sample_size": size.cast("long"), "significance": label})
+    winner = F.when(F.col("significance").isin("significant", "highly_significant"), F.when(F.col("_p1") > F.col("_p0"), F.col(variation)).otherwise(F.lit(control)))
+    least_n = F.least(n1, n0)
+    advice = F.filter(F.array(
+        F.when(least_n < MIN_SAMPLE, "more_users"), F.when((F.col("significance") == "not_significant") & (F.col("power") < 0.8), "low_power"), F.when(F.abs(h) < 0.2, "small_effect").when(F.abs(h) > 0.8, "large_effect"),
+        F.when(F.col("lift") * 100 > 10, "strong_lift").when(F.col("lift") * 100 < -5, "negative_lift")), lambda x: x.isNotNull())
+    known = F.col("z").isNotNull()
+    given = [F.when(known, F.col(c)).otherwise(x).alias(c) for c, x in (("p_value", 1.0), ("effect_size", 0.0), ("mde", NO_TEST_MDE), ("power", 0.0), ("sample_size", MIN_SAMPLE))]
+    return rows.select(variation, "significance", *given, winner.alias("winner"), advice.alias("advice"))
 
 
 def threshold_sweep(pairs: DataFrame, score: str, label: str, thresholds: Sequence[float]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,6 +39,116 @@ def forecast(prices: DataFrame, order: int = 5, steps: int = 3) -> DataFrame:
     return prices.select("symbol", "date", "close").groupBy("symbol").applyInPandas(one, "symbol string, step int, forecast double")
 
 
+# The (p, d, q) that are tried, in that order, and the fewest prices of a forecast.
+ORDERS = [(1, 1, 1), (2, 1, 1), (1, 1, 2), (2, 1, 2), (0, 1, 1), (1, 1, 0), (0, 1, 0)]
+MIN_PRICES = 30
+NORMAL_95 = 1.959963984540054
+
+
+def lagged(x: np.ndarray, lags: int, start: int) -> np.ndarray:
+    """Columns of ``x`` one to ``lags`` steps back, from row ``start`` on."""
+    return np.column_stack([x[start - k : len(x) - k] for k in range(1, lags + 1)]) if lags else np.zeros((len(x) - start, 0))
+
+
+def stable(coefficients: np.ndarray) -> bool:
+    """Whether the recursion ``x = sum of c[k] x[k back]`` dies out."""
+    n = len(coefficients)
+    if not n:
+        return True
+    step = np.eye(n, k=-1)
+    step[0] = coefficients
+    return bool(np.abs(np.linalg.eigvals(step)).max() < 1)
+
+
+@dataclass
+class Arima:
+    """A fitted (p, 1, q): coefficients, variance of the innovations, AIC, and the last values that forecasts need."""
+
+    order: tuple
+    ar: np.ndarray
+    ma: np.ndarray
+    variance: float
+    aic: float
+    moves: np.ndarray
+    shocks: np.ndarray
+    level: float
+
+    def forecast(self, steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of the next steps, and their standard errors."""
+        moves, shocks, out = list(self.moves), list(self.shocks), []
+        weights, total, spread = [1.0], 1.0, []
+        for h in range(steps):
+            move = sum(c * moves[-k] for k, c in enumerate(self.ar, 1)) + sum(c * shocks[-k] for k, c in enumerate(self.ma, 1))
+            moves.append(float(move))
+            shocks.append(0.0)
+            out.append((out[-1] if out else self.level) + moves[-1])
+            spread.append((spread[-1] if spread else 0.0) + total**2)
+            weights.append(sum(c * weights[-k] for k, c in enumerate(self.ar, 1) if k <= len(weights)) + (self.ma[h] if h < len(self.ma) else 0.0))
+            total += weights[-1]
+        return np.array(out), np.sqrt(self.variance * np.array(spread))
+
+
+def fit_arima(values: np.ndarray, order: tuple[int, int, int]) -> Arima | None:
+    """Two regressions (Hannan and Rissanen): a long autoregression tells the innovations, then moves are explained by moves and innovations.
+
+    All orders are fitted on the same rows, so that their AIC can be compared.
+    None if the fit is not stable, or rows are too few.
+    """
+    moves, (p, _, q) = np.diff(values), order
+    long = max(4, min(10, len(moves) // 6))
+    start = long + 2
+    if len(moves) - start < 2 * (p + q) + 3:
+        return None
+    first = np.linalg.lstsq(lagged(moves, long, long), moves[long:], rcond=None)[0]
+    shocks = np.concatenate([np.zeros(long), moves[long:] - lagged(moves, long, long) @ first])
+    x, y = np.column_stack([lagged(moves, p, start), lagged(shocks, q, start)]), moves[start:]
+    found = np.linalg.lstsq(x, y, rcond=None)[0] if p + q else np.zeros(0)
+    rest = y - x @ found
+    variance = float(rest @ rest) / len(y)
+    if not (stable(found[:p]) and stable(-found[p:])):
+        return None
+    aic = len(y) * np.log(max(variance, 1e-300)) + 2 * (p + q + 1)
+    return Arima(order, found[:p], found[p:], variance, float(aic), moves[-2:], np.concatenate([np.zeros(2), rest])[-2:], float(values[-1]))
+
+
+def choose_arima(values: np.ndarray) -> Arima | None:
+    """The order of least AIC, the first of equals."""
+    fits = [f for o in ORDERS if (f := fit_arima(values, o))]
+    return min(fits, key=lambda f: f.aic) if fits else None
+
+
+def arima_forecasts(prices: DataFrame, steps: int = 7) -> DataFrame:
+    """``symbol, step, forecast, low, high, model, aic, mae, rmse, success`` for each symbol and step.
+
+    The order is chosen on all prices; ``mae`` and ``rmse`` are those of a fit
+    of that order on all but the last fifth, which it forecasts. The first row of a
+    repeated date counts. Fewer than ``MIN_PRICES`` prices, or none that fits,
+    give one row without a forecast. Each series is fitted by its own task.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.dropna(subset=["close"]).sort_values(["date", "close"]).drop_duplicates("date")["close"].to_numpy(float)
+        symbol, fitted = pdf["symbol"].iloc[0], choose_arima(values) if len(values) >= MIN_PRICES else None
+        if fitted is None:
+            return pd.DataFrame([(symbol, None, None, None, None, None, None, None, None, False)], columns=names).astype({"success": bool})
+        held = max(1, len(values) // 5)
+        train = fit_arima(values[:-held], fitted.order)
+        miss = train.forecast(held)[0] - values[-held:] if train else np.array([np.nan])
+        level, error = fitted.forecast(steps)
+        out = pd.DataFrame({"symbol": symbol, "step": np.arange(1, steps + 1), "forecast": level, "low": level - NORMAL_95 * error, "high": level + NORMAL_95 * error})
+        return out.assign(model=",".join(map(str, fitted.order)), aic=fitted.aic, mae=float(np.abs(miss).mean()), rmse=float(np.sqrt((miss**2).mean())), success=True)
+
+    schema = "symbol string, step int, forecast double, low double, high double, model string, aic double, mae double, rmse double, success boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+    return prices.select("symbol", "date", "close").groupBy("symbol").applyInPandas(one, schema)
+
+
+def forecast_metrics(forecasts: DataFrame) -> DataFrame:
+    """``symbol, success, model, mae, rmse, final, change`` of each symbol: its errors, last forecast and the change to it from the first."""
+    last = F.max_by("forecast", "step")
+    return forecasts.groupBy("symbol").agg(F.bool_or("success").alias("success"), F.first("model").alias("model"), F.first("mae").alias("mae"), F.first("rmse").alias("rmse"), last.alias("final"), (last / F.min_by("forecast", "step") - 1).alias("change"))
+
+
 def feature_frame(prices: DataFrame, market: DataFrame) -> DataFrame:
     """Returns, volatility and market move of each row, and the next row's return as the label."""
     rows = prices.select("symbol", "date", "close", ts.simple_return().alias("ret"))

@@ -9,6 +9,7 @@ from marketloom.plans.registry import query, table
 from marketloom.plans.series_queries import market, prices, returns
 from marketloom.sources import files
 from marketloom.streaming import events as st
+from marketloom.streaming import state
 
 
 @query("""WITH w AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2) SELECT start, event_type, n, round(total, 4) AS total FROM w WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
@@ -41,7 +42,7 @@ def stream_dead_letters(spark, sf_dir):
 @query()
 def stream_cooldown(spark, sf_dir):
     rows = st.read_events(spark, sf_dir).where("event_type = 'error'").select("user_id", "event_id", "ts")
-    return st.run_to_table(st.cooldown(rows, "user_id"), "cooldown")
+    return st.run_to_table(state.keyed(rows, "user_id", state.Cooldown()), "cooldown").select(F.col("key").alias("user_id"), "event_id", "ts")
 
 
 @query("SELECT user_id, count(*) AS attempts, CASE WHEN count(*) <= 3 THEN least(power(2.0, count(*)), 60.0) END AS delay, count(*) > 3 AS dead FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -85,3 +86,13 @@ def price_forecasts(spark, sf_dir):
 def tree_forecasts(spark, sf_dir):
     rets = returns(spark, sf_dir)
     return models.tree_forecast(models.feature_frame(prices(spark, sf_dir), market(rets)), ["ret", "volatility", "market_ret"])
+
+
+@query()
+def arima_forecasts(spark, sf_dir):
+    return models.arima_forecasts(prices(spark, sf_dir))
+
+
+@query()
+def forecast_metrics(spark, sf_dir):
+    return models.forecast_metrics(models.arima_forecasts(prices(spark, sf_dir)))

@@ -198,6 +198,24 @@ def ab_ztest(spark, sf_dir):
     return out.select("variation", r("z", 5).alias("z"), *(r(c).alias(c) for c in ("cohens_h", "ci_low", "ci_high")))
 
 
+# the quantiles of 0.975 and 0.8, and the error function's series
+_T = "1.0 / (1.0 + 0.3275911 * abs(x) / sqrt(2.0))"
+_CDF = f"CASE WHEN x >= 0 THEN 1 - ({{tail}}) ELSE ({{tail}}) END".format(tail=f"(((((1.061405429 * {_T} - 1.453152027) * {_T}) + 1.421413741) * {_T} - 0.284496736) * {_T} + 0.254829592) * {_T} * exp(-x * x / 2) / 2")
+
+
+@query(f"""WITH {_METRICS.replace("variation, user_id, count", "variation, event_id, count")}, j AS (SELECT t.variation, t.rate AS p1, t.users AS n1, c.rate AS p0, c.users AS n0, (t.users * t.rate + c.users * c.rate) / (t.users + c.users) AS p FROM m t JOIN m c ON t.variation = 'treatment' AND c.variation = 'control'),
+  z AS (SELECT *, (p1 - p0) / sqrt(p * (1 - p) * (1.0 / n1 + 1.0 / n0)) AS z, 2 * asin(sqrt(p0)) - 2 * asin(sqrt(p1)) AS h, 2.0 / (1.0 / n1 + 1.0 / n0) AS hm, 1.959963984540054 AS za, 0.8416212335729143 AS zb FROM j),
+  e AS (SELECT *, (za + zb) * sqrt(0.18 / hm) AS mde FROM z), f AS (SELECT *, p0 + mde AS p2, (p0 + p0 + mde) / 2 AS pm, (SELECT 2 * (1 - ({_CDF})) FROM (SELECT abs(z) AS x)) AS pv, (SELECT {_CDF} FROM (SELECT h * sqrt(hm / 2) - za AS x)) AS pw FROM e)
+  SELECT variation, round(pv, 5) AS p_value, CASE WHEN pv < 0.01 THEN 'highly_significant' WHEN pv < 0.05 THEN 'significant' WHEN pv < 0.1 THEN 'marginally_significant' ELSE 'not_significant' END AS significance,
+  round(h, 6) AS effect_size, round(mde, 6) AS mde, round(pw, 5) AS power, CAST(greatest(100, floor(2 * (za + zb) * (za + zb) * pm * (1 - pm) / ((p2 - p0) * (p2 - p0)))) AS BIGINT) AS sample_size,
+  CASE WHEN pv < 0.05 THEN CASE WHEN p1 > p0 THEN variation ELSE 'control' END END AS winner,
+  list_filter([CASE WHEN least(n1, n0) < 100 THEN 'more_users' END, CASE WHEN pv >= 0.1 AND pw < 0.8 THEN 'low_power' END, CASE WHEN abs(h) < 0.2 THEN 'small_effect' WHEN abs(h) > 0.8 THEN 'large_effect' END, CASE WHEN (p1 / p0 - 1) * 100 > 10 THEN 'strong_lift' WHEN (p1 / p0 - 1) * 100 < -5 THEN 'negative_lift' END], lambda a: a IS NOT NULL) AS advice FROM f""")
+def ab_plan(spark, sf_dir):
+    # every event counts as a visitor of its own, since each user of the table converts
+    out = ag.experiment_plan(ag.experiment_metrics(experiment(spark, sf_dir), "variation", "event_id", "event_type", "value", "purchase"), "variation", "control")
+    return out.select("variation", r("p_value", 5).alias("p_value"), "significance", r("effect_size").alias("effect_size"), r("mde").alias("mde"), r("power", 5).alias("power"), "sample_size", "winner", "advice")
+
+
 @query(f"SELECT variation, list(event_type || ':' || n ORDER BY event_type) AS events FROM (SELECT variation, event_type, count(*) AS n FROM {_AB} GROUP BY 1, 2) GROUP BY variation")
 def experiment_breakdown(spark, sf_dir):
     out = ag.breakdown(experiment(spark, sf_dir), "variation", "event_type")

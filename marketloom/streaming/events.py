@@ -102,25 +102,6 @@ def replay(events: DataFrame, since: str) -> DataFrame:
     return events.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz")).orderBy("ts", "event_id")
 
 
-def cooldown(alerts: DataFrame, key: str, minutes: int = 60, name: str = "cooldown") -> DataFrame:
-    """Alerts of a key at least so long after the last one passed; the last time is the key's state."""
-    import pandas as pd
-
-    def step(k, batches, state):
-        last = state.get[0] if state.exists else None
-        rows = pd.concat([b for b in batches if len(b)]).sort_values(["ts", "event_id"])
-        keep = []
-        for t in rows["ts"]:
-            micros = int(t.value // 1000)
-            ok = last is None or micros - last >= minutes * 60_000_000
-            last = micros if ok else last
-            keep.append(ok)
-        state.update((last,))
-        yield rows[keep]
-
-    return alerts.groupBy(key).applyInPandasWithState(step, alerts.schema, "last long", "append", "NoTimeout")
-
-
 def _last_state(spark: SparkSession, path: str) -> str | None:
     """The newest whole state table under ``path``."""
     pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/state-*/_SUCCESS")

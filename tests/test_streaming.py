@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import decision as dc
 from marketloom.streaming import events as st
+from marketloom.streaming import state
 
 
 def table(spark, tmp_path, rows, schema):
@@ -26,7 +27,7 @@ SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 def test_cooldown_is_the_batch_pass(spark, tmp_path):
     rows = [(i, at(m), i % 2, "error", 1.0, "{}") for i, m in enumerate((0, 5, 30, 61, 62, 100, 130, 200))]
     events = st.read_events(spark, table(spark, tmp_path, rows, SCHEMA)).select("user_id", "event_id", "ts")
-    stream = st.run_to_table(st.cooldown(events, "user_id"), "cooldown")
+    stream = st.run_to_table(state.keyed(events, "user_id", state.Cooldown()), "cooldown")
     batch = dc.with_cooldown(spark.createDataFrame([(u, i, t) for i, t, u, *_ in rows], "symbol long, id long, ts timestamp"))
     assert {r.event_id for r in stream.collect()} == {r.id for r in batch.collect()}
 
