@@ -130,9 +130,3 @@ def extract_html(pages: DataFrame, html: str = "html") -> DataFrame:
         return pd.DataFrame([parse_html(x) for x in column], columns=["title", "author", "site", "body"])
 
     return pages.withColumn("_x", extract(html)).select(*pages.columns, "_x.*")
-
-
-def paywall_status(text, strong: list[str], weak: list[str]) -> Column:
-    """``paywalled`` with a strong sign or three weak ones, ``partial`` with one."""
-    n = lambda words: sum((F.lower(text).contains(w).cast("int") for w in words), F.lit(0))
-    return F.when((n(strong) > 0) | (n(weak) >= 3), "paywalled").when(n(weak) > 0, "partial").otherwise("open")
