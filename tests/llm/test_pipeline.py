@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from marketloom.llm import queries
@@ -55,24 +54,23 @@ def test_exact_stage(spark, stages, columns):
     assert stages["exact dedup"](spark, frame(spark, ODD).limit(0), SF).count() == 0
 
 
-def brute_print(text):
+def shingles_of(text):
     w = (text or "").encode().lower().split()
-    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return frozenset(b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
 def test_near_stage(spark, stages, columns):
     rng = random.Random(3)
     words = [f"w{rng.randrange(900)}" for _ in range(3000)]
-    edited = words[:1500] + ["other"] + words[1501:]
+    edited = [w if i % 60 else f"other{i}" for i, w in enumerate(words)]
     rows = [*ODD, (20, " ".join(words)), (19, " ".join(edited)), (None, " ".join(words)), (21, "one text"), (9, "one text")]
     order = lambda r: (r[0] is None, r[0] or 0)
-    prints = {t or "": brute_print(t) for _, t in rows}
-    component = {t: t for t in prints}
-    for _ in prints:
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3:
+    sets = {t or "": shingles_of(t) for _, t in rows}
+    component = {t: t for t in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     component[a] = component[b] = min(component[a], component[b])
     groups: dict = {}
     for r in rows:
