@@ -78,3 +78,35 @@ def test_decontamination_is_all_pairs(spark):
                     want[d, k] = round(score, 6)
     got = {(r.doc_id, r.item_id): r.score for r in queries.op10_decontamination(spark, SF).collect()}
     assert got == want
+
+
+def test_rare_words_lose_no_leak(spark):
+    """Rare words of random items: whatever share of an item is left, in any order of frequency, one of its rare words is."""
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        sizes = rng.integers(0, 12, 6)
+        words, ends = rng.integers(0, 9, sizes.sum()).astype(np.uint64), np.concatenate(([0], np.cumsum(sizes)))
+        threshold = float(rng.choice([0.3, 0.5, 0.8, 1.0]))
+        word, item = decontam.rare_words(words, ends, rng.integers(0, 3, len(words)), threshold)
+        for k, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+            if b > a:
+                left = rng.permutation(words[a:b])[: max(1, math.ceil(threshold * (b - a) - 1e-9))]
+                assert set(left.tolist()) & set(word[item == k].tolist())
+
+
+def test_a_common_stem_starts_nothing(spark):
+    """Items with one stem: a text with the stem alone looks at none of them, a copy only at its own."""
+    stem = "which of the following is true about"
+    items = [(k, f"{stem} " + " ".join(f"q{k}x{i}" for i in range(12))) for k in range(300)]
+    docs = [(d, f"{stem} something else number {d}") for d in range(50)] + [(99, "so " + items[7][1])]
+    benchmark, frame = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.item_id, r.score) for r in decontam.contaminated(frame, benchmark).collect()]
+    assert got == [(99, 7, 1.0)]
+    ids = [decontam.words_of(t.encode()) for _, t in docs]
+    table = benchmark.select(F.col("item_id").alias("item"), decontam.tokenised(benchmark).alias("words"))
+    counts = decontam.word_frequencies(frame, np.unique(np.concatenate([decontam.words_of(t.encode()) for _, t in items])))
+    assert dict(zip(*(x.tolist() for x in counts)))[int(decontam.words_of(b"following")[0])] == 51
+    index = decontam.index_of(table, 3, decontam.THRESHOLD, counts)
+    marks = np.full(len(index.grams), -1, np.int32)
+    assert all(not len(decontam.seeds(index, x, 3, marks)[0]) for x in ids[:-1]) and (marks == -1).all()
+    assert set(decontam.seeds(index, ids[-1], 3, marks)[0].tolist()) == {7}
