@@ -136,7 +136,7 @@ def word_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, np
         total = np.zeros(len(known), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                ids = np.unique(words_of((text.as_py() or "").encode()))
+                ids = word_ids(list(set((text.as_py() or "").encode().translate(_SEPARATORS).split())))
                 place = np.minimum(np.searchsorted(known, ids), len(known) - 1)
                 total[place[known[place] == ids]] += 1
         seen = np.flatnonzero(total)
@@ -178,12 +178,13 @@ def seeds(index: Index, ids: np.ndarray, gram: int, marks: np.ndarray):
     found = gram_hashes(ids, gram)
     if not len(found) or not len(index.grams):
         return none, none, none
-    words = np.unique(ids)
-    at = np.minimum(np.searchsorted(index.rare, words), len(index.rare) - 1)
-    items = np.unique(index.named[ranges(index.name_first, at[index.rare[at] == words])[0]]).astype(np.int64)
     number = np.minimum(np.searchsorted(index.grams, found), len(index.grams) - 1)
     hits = np.flatnonzero(index.grams[number] == found)
-    if not len(hits) or not len(items):
+    if not len(hits):
+        return none, none, none
+    at = np.minimum(np.searchsorted(index.rare, ids), len(index.rare) - 1)
+    items = np.unique(index.named[ranges(index.name_first, np.unique(at[index.rare[at] == ids]))[0]]).astype(np.int64)
+    if not len(items):
         return none, none, none
     hits = hits[np.argsort(number[hits], kind="stable")]
     mine, first = np.unique(number[hits], return_index=True)
