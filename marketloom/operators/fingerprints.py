@@ -39,17 +39,19 @@ def features(words: Column) -> Column:
 def weighted_fingerprints(articles: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id, fingerprint`` (long): a bit is set where the weights of features whose hash has it exceed the others'.
 
-    The hash is the last 64 bits of the md5. The votes are 64 sums that tasks
+    The hash is the last 64 bits of the md5. The votes are 32 sums of two bits each that tasks
     add up before they shuffle, so a very long text is no burden, and a text
     costs its words once. No feature (also a null text): fingerprint zero. Rows that
     share an id vote together.
     """
     words = articles.select(F.col(id_col).alias("id"), feature_words(text).alias("words"))
     rows = words.select("id", F.explode_outer(features(F.col("words"))).alias("x")).select("id", "x.weight", F.conv(F.substring(F.md5("x.feature"), 17, 16), 16, -10).cast("long").alias("h"))
-    bit = lambda b: F.shiftrightunsigned("h", b).bitwiseAND(F.lit(1).cast("long"))
-    votes = rows.groupBy("id").agg(*(F.sum(F.col("weight") * (2 * bit(b) - 1)).alias(f"v{b}") for b in range(64)))
+    # two counts a sum, of a bit and of the one 32 places on: a text has fewer than two billion features
+    both = F.lit(1 << 32 | 1).cast("long")
+    votes = rows.groupBy("id").agg(F.sum("weight").alias("n"), *(F.sum(F.col("weight") * F.shiftrightunsigned("h", b).bitwiseAND(both)).alias(f"v{b}") for b in range(32)))
+    for_bit = lambda b: F.col(f"v{b}").bitwiseAND(F.lit((1 << 32) - 1).cast("long")) if b < 32 else F.shiftrightunsigned(f"v{b - 32}", 32)
     signed = lambda b: (1 << b) if b < 63 else -(1 << 63)
-    return votes.select(F.col("id").alias(id_col), reduce(add, (F.when(F.col(f"v{b}") > 0, F.lit(signed(b)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64))).alias("fingerprint"))
+    return votes.select(F.col("id").alias(id_col), reduce(add, (F.when(2 * for_bit(b) > F.col("n"), F.lit(signed(b)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64))).alias("fingerprint"))
 
 
 def block_keys(fp: Column) -> Column:
