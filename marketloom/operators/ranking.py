@@ -69,6 +69,101 @@ def quota_selection(rows: DataFrame, order: str, provider: str, tickers: str, pr
     return out if batch else out.drop(key)
 
 
+# Kinds of feeds in the order in which they are read; those that only discover others' articles come last and take turns.
+FAMILIES = ["direct_news_publisher", "market_data_or_analysis", "press_release_wire"]
+DISCOVERY = "google_news_backstop"
+
+
+def discovery_limit(direct: int, total: int, share: float) -> int:
+    """How many articles discovery feeds may add to ``direct`` others so that they are at most ``share`` of all."""
+    share = min(1.0, max(0.0, share))
+    if direct == 0 or share == 1.0:
+        return total
+    return 0 if share == 0 else max(0, min(int(direct * share / (1 - share)), int(total * share), total - direct))
+
+
+def feed_candidates(articles: DataFrame, per_ticker: int, total: int) -> DataFrame:
+    """The ``articles`` that ``capped_feeds`` can take: all others are refused, whatever comes before them.
+
+    Of a feed's articles with the same tickers, only the first with a URL can be
+    taken, each one taken uses up the tickers, and each one refused for its URL
+    has one that was taken: beyond ``per_ticker + total`` of them none is left.
+    """
+    tickers = F.array_sort(F.array_distinct("tickers"))
+    rows = articles.where(F.size("tickers") > 0).withColumn("tickers", tickers)
+    own = ["batch", "provider", "feed", "tickers"]
+    first = rows.groupBy(*own, "url").agg(F.min(F.struct("pos", "id")).alias("at"), F.first("family").alias("family"), F.first("feed_no").alias("feed_no"))
+    rank = F.row_number().over(Window.partitionBy(*own).orderBy("at"))
+    return first.withColumn("_rank", rank).where(F.col("_rank") <= per_ticker + total).select("batch", "provider", "feed", "feed_no", "family", "tickers", "url", "at.pos", "at.id")
+
+
+def capped_feeds(articles: DataFrame, per_source: int, per_ticker: int, total: int, share: float = 1.0, direct_first: bool = True) -> DataFrame:
+    """``batch, id, place``: the articles of each batch that its feeds may add, in the order in which they are taken.
+
+    ``articles``: ``batch, id, provider, feed, feed_no, family, pos, url,
+    tickers``; ``feed_no`` is the place of a feed among all, ``pos`` that of an
+    article in it. Providers go in the order of their first feed, with
+    ``direct_first`` by family and discovery last. A provider's feeds are read
+    one after another; those of a discovery provider take turns, in which a
+    refused article costs its feed nothing. An article is refused if it has no
+    ticker, its URL was taken, its provider has ``per_source`` articles or one
+    of its tickers ``per_ticker``; ``total`` ends a batch, and ``share`` bounds
+    what a discovery provider adds to the others. A null URL is one of its own
+    for each article. Equal places in a feed go by id.
+
+    Candidates are found before the shuffle; a batch's are one task, which
+    reads keys only and holds, for each feed and set of tickers,
+    ``per_ticker + total`` of them at most.
+    """
+    import pandas as pd
+
+    known = F.when(F.col("family") == DISCOVERY, len(FAMILIES) + 1)
+    for rank, family in enumerate(FAMILIES):
+        known = known.when(F.col("family") == family, rank)
+    rows = articles.withColumn("url", F.coalesce(F.concat(F.lit("u"), "url"), F.concat(F.lit("i"), F.col("id").cast("string"))))
+    rows = feed_candidates(rows, per_ticker, total).withColumn("_family", F.coalesce(known, F.lit(len(FAMILIES))) if direct_first else F.lit(0))
+
+    def select(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_family", "feed_no", "feed", "pos", "id"])
+        taken, urls, n_of, n_direct = [], set(), {}, 0
+
+        def take(row) -> bool:
+            nonlocal n_direct
+            wants = [("provider", row.provider), *(("ticker", t) for t in row.tickers)]
+            limits = [per_source] + [per_ticker] * len(row.tickers)
+            if row.url in urls or any(n_of.get(w, 0) >= limit for w, limit in zip(wants, limits)):
+                return False
+            taken.append(row.id)
+            urls.add(row.url)
+            n_direct += row.family != DISCOVERY
+            for w in wants:
+                n_of[w] = n_of.get(w, 0) + 1
+            return True
+
+        for provider, own in pdf.groupby("provider", sort=False, dropna=False):
+            # the kind of a provider is that of its first feed with a candidate
+            discovers = own["family"].iloc[0] == DISCOVERY
+            room = min(total, len(taken) + discovery_limit(n_direct, total, share)) if discovers else total
+            feeds = [iter(list(f.itertuples())) for _, f in own.groupby(["_family", "feed_no", "feed"], sort=False, dropna=False)]
+            open_ = feeds if discovers else [r for f in feeds for r in f]
+            while discovers and open_ and len(taken) < room:
+                left = []
+                for feed in open_:
+                    if len(taken) >= room:
+                        break
+                    if any(take(row) for row in feed):
+                        left.append(feed)
+                open_ = left
+            for row in () if discovers else open_:
+                if len(taken) >= room:
+                    break
+                take(row)
+        return pd.DataFrame({"batch": pdf["batch"].iloc[0], "id": taken, "place": range(1, len(taken) + 1)})
+
+    kinds = {f: articles.schema[f].dataType.simpleString() for f in ("batch", "id")}
+    return rows.groupBy("batch").applyInPandas(select, f"batch {kinds['batch']}, id {kinds['id']}, place int")
+
+
 def trim_dominant(rows: DataFrame, key: str, order: str, limit: float) -> DataFrame:
     """Drop rows of the most frequent key from the end until its share is at most ``limit``.
 

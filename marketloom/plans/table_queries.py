@@ -302,3 +302,14 @@ def quota_selection(spark, sf_dir):
     """Every user's events, at most 40 of a type and 15 of a hundred's digit, one task a user group."""
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.array((F.col("user_id") % 10).cast("string")).alias("tickers"), F.to_date("ts").cast("string").alias("day"))
     return rk.quota_selection(rows, "event_id", "event_type", "tickers", 40, 15, "day")
+
+
+@query()
+def capped_feeds(spark, sf_dir):
+    """Each day's events as articles: types are providers with three feeds each, hundreds of users tickers, amounts URLs."""
+    family = F.create_map(*(F.lit(x) for pair in {"purchase": rk.FAMILIES[0], "click": rk.FAMILIES[1], "view": rk.DISCOVERY}.items() for x in pair))
+    ticker = lambda n: (F.col("user_id") % n).cast("string")
+    part = F.col("user_id") % 3
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").alias("batch"), F.col("event_id").alias("id"), F.col("event_type").alias("provider"), F.concat_ws("/", "event_type", part.cast("string")).alias("feed"), (part * 10).alias("feed_no"),
+        F.element_at(family, F.col("event_type")).alias("family"), F.col("event_id").alias("pos"), F.round("value").cast("string").alias("url"), F.when(F.col("user_id") % 7 > 0, F.array(ticker(17), F.concat(F.lit("t"), ticker(5)))).otherwise(F.array().cast("array<string>")).alias("tickers"))
+    return rk.capped_feeds(rows, 12, 8, 40, 0.3).withColumnRenamed("id", "event_id")

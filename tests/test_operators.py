@@ -145,6 +145,63 @@ def test_quota(spark):
     assert [r.id for r in rk.quota_selection(rows, "id", "p", "ts", 5, 2).orderBy("id").collect()] == [0, 1, 2, 3]
 
 
+def plain_capped_feeds(rows, per_source, per_ticker, total, share, direct_first):
+    """Every article in turn, as the caps say, without candidates or sets."""
+    out = []
+    for batch in sorted({r["batch"] for r in rows}):
+        mine = [r for r in rows if r["batch"] == batch and r["tickers"]]
+        rank = lambda f: 4 if f == rk.DISCOVERY else rk.FAMILIES.index(f) if f in rk.FAMILIES else 3
+        mine.sort(key=lambda r: (rank(r["family"]) if direct_first else 0, r["feed_no"], r["feed"], r["pos"], r["id"]))
+        taken = []
+
+        def fits(r):
+            same = sum(t["provider"] == r["provider"] for t in taken) >= per_source or any(r["url"] is not None and t["url"] == r["url"] for t in taken)  # noqa: B023
+            return not same and all(sum(x in t["tickers"] for t in taken) < per_ticker for x in r["tickers"])  # noqa: B023
+
+        for provider in dict.fromkeys(r["provider"] for r in mine):
+            own = [r for r in mine if r["provider"] == provider]
+            if own[0]["family"] != rk.DISCOVERY:
+                for r in own:
+                    if len(taken) < total and fits(r):
+                        taken.append(r)
+                continue
+            direct = sum(r["family"] != rk.DISCOVERY for r in taken)
+            room = total if not direct or share >= 1 else 0 if share <= 0 else max(0, min(int(direct * share / (1 - share)), int(total * share), total - direct))
+            end = min(total, len(taken) + room)
+            queues = [[r for r in own if r["feed"] == f] for f in dict.fromkeys(r["feed"] for r in own)]
+            while any(queues) and len(taken) < end:
+                for q in queues:
+                    while q and len(taken) < end:
+                        r = q.pop(0)
+                        if fits(r):
+                            taken.append(r)
+                            break
+        out += [(batch, r["id"], i) for i, r in enumerate(taken, 1)]
+    return out
+
+
+@pytest.mark.parametrize("caps", [(6, 4, 20, 0.5, True), (50, 3, 12, 0.75, False), (4, 9, 30, 0.0, True), (9, 2, 100, 1.0, True)])
+def test_capped_feeds(spark, caps):
+    rng = random.Random(sum(caps[:3]))
+    families = {"a": rk.FAMILIES[2], "b": rk.DISCOVERY, "c": rk.FAMILIES[0], "d": None, "e": rk.DISCOVERY}
+    rows = []
+    for i in range(600):
+        provider, part = rng.choice("abcde"), rng.randrange(3)
+        url = rng.choice([None, *(f"u{k}" for k in range(60))])
+        rows.append(dict(batch=rng.randrange(2), id=i, provider=provider, feed=f"{provider}{part}", feed_no=part * 5 + "ebdac".index(provider), family=families[provider], pos=rng.randrange(40), url=url, tickers=sorted(rng.sample("QRSTUVW", rng.choice([0, 1, 1, 2])))))
+    schema = "batch int, id long, provider string, feed string, feed_no int, family string, pos int, url string, tickers array<string>"
+    got = rk.capped_feeds(spark.createDataFrame(rows, schema), *caps)
+    want = plain_capped_feeds(rows, *caps)
+    assert sorted((r.batch, r.id, r.place) for r in got.collect()) == sorted(want) and want
+    assert rk.capped_feeds(spark.createDataFrame([], schema), *caps).count() == 0
+
+
+def test_candidates_of_feeds_are_bounded(spark):
+    rows = [(0, i, "p", "f", 0, None, i, f"u{i}", ["T"]) for i in range(500)]
+    df = spark.createDataFrame(rows, "batch int, id long, provider string, feed string, feed_no int, family string, pos int, url string, tickers array<string>")
+    assert rk.feed_candidates(df, 3, 10).count() == 13
+
+
 def test_z_test(spark):
     m = spark.createDataFrame([("a", 1000, 0.10), ("b", 1000, 0.13)], "variation string, users long, rate double")
     row = ag.z_test(m, "variation", "a").head()
