@@ -8,8 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from marketloom.operators import timeseries as ts
+from marketloom.staging import shared_path, staged
 
 
 def autoregression(values: np.ndarray, order: int, steps: int) -> np.ndarray:
@@ -169,6 +171,66 @@ def tree_forecast(features: DataFrame, columns: list[str], trees: int = 20, dept
     return boosted.transform(forest.transform(last)).select("symbol", "date", ((F.col("forest") + F.col("boosted")) / 2).alias("forecast"))
 
 
+def leaf_values(forest, spark) -> DataFrame:
+    """``tree, leaf, value`` of a fitted forest, leaves from left to right; trees times leaves of a tree bound its size."""
+    path = shared_path(spark, "forest")
+    forest.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    # nodes are numbered in preorder, so leaves by number go from left to right
+    leaf = F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1
+    return nodes.where("leftChild < 0").select("tree", leaf.alias("leaf"), F.col("prediction").alias("value"))
+
+
+def tree_spread(forest, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, spread``: how far the forest's own trees lie apart (deviation, divisor n) at each of ``rows`` (keys, features)."""
+    from pyspark.ml.functions import vector_to_array
+
+    model = forest.copy().setLeafCol("_leaf")
+    each = model.transform(rows).select(*keys, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf")).withColumn("leaf", F.col("leaf").cast("int"))
+    return each.join(leaf_values(forest, rows.sparkSession), ["tree", "leaf"]).groupBy(*keys).agg(F.stddev_pop("value").alias("spread"))
+
+
+# The move at once and the sentiment that together raise a flag.
+FLAG_MOVE, FLAG_SENTIMENT = -0.05, -0.3
+
+
+def tree_outlook(features: DataFrame, columns: list[str], trees: int = 200, depth: int = 10, boosts: int = 100, boost_depth: int = 5, steps: int = 3) -> DataFrame:
+    """``symbol, step, date, forecast, confidence, red_flag``: prices of the next steps from the returns that two ensembles expect.
+
+    ``features``: ``symbol, date, close, ret, volatility, sentiment`` and
+    ``columns``; rows without one of them are left out, symbols with fewer than
+    two have no forecast. A forest and boosted trees are fitted on all symbols'
+    returns. The level from which a symbol's forecasts start is its first price
+    moved by all returns that the ensembles find for its rows; each step moves
+    it by what they expect at its last row. Confidence is 1 / (1 + spread *
+    volatility), of the spread of the forest's trees at that row. A flag goes up
+    where a great fall meets a bad sentiment. Dates of a symbol must differ.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    needed = list(dict.fromkeys(["symbol", "date", "close", "ret", "volatility", "sentiment", *columns]))
+    rows = features.select(*needed).dropna()
+    enough = rows.groupBy("symbol").agg(F.count("*").alias("_n")).where("_n > 1").select("symbol")
+    rows = staged(rows.join(enough, "symbol", "left_semi"), "features")
+    schema = f"symbol {rows.schema['symbol'].dataType.simpleString()}, step int, date {rows.schema['date'].dataType.simpleString()}, forecast double, confidence double, red_flag boolean"
+    if rows.isEmpty():
+        return features.sparkSession.createDataFrame([], schema)
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(rows)
+    forest = RandomForestRegressor(labelCol="ret", numTrees=trees, maxDepth=depth, seed=42, predictionCol="forest").fit(ready)
+    boosted = GBTRegressor(labelCol="ret", maxIter=boosts, maxDepth=boost_depth, seed=42, predictionCol="boosted").fit(ready)
+    fitted = boosted.transform(forest.transform(ready)).withColumn("move", 1 + (F.col("forest") + F.col("boosted")) / 2)
+    last = F.max_by(F.struct("date", "move", "volatility", "sentiment", "features"), "date").alias("last")
+    # the first row's own return leads to no price: its price is where the level starts
+    moves = F.product(F.when(F.col("date") == F.col("_first"), 1.0).otherwise(F.col("move")))
+    first = rows.groupBy("symbol").agg(F.min("date").alias("_first"))
+    ends = staged(fitted.join(first, "symbol").groupBy("symbol").agg((F.min_by("close", "date") * moves).alias("level"), last).select("symbol", "level", "last.*"), "ends")
+    spread = tree_spread(forest, ends.select("symbol", "features"), ["symbol"])
+    out = ends.drop("features").join(spread, "symbol").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    flag = (F.col("move") - 1 <= FLAG_MOVE) & (F.col("sentiment") <= FLAG_SENTIMENT)
+    return out.select("symbol", "step", F.date_add("date", F.col("step")).cast(rows.schema["date"].dataType).alias("date"), F.round(F.col("level") * F.pow("move", F.col("step")), 2).alias("forecast"), (1 / (1 + F.col("spread") * (F.col("volatility") + 1e-6))).alias("confidence"), flag.alias("red_flag"))
+
+
 def scored(df: DataFrame, text: str, scorer, out: str = "score") -> DataFrame:
     """An injected scorer (list of texts -> list of numbers) applied batch by batch."""
 

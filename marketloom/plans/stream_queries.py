@@ -88,6 +88,14 @@ def tree_forecasts(spark, sf_dir):
     return models.tree_forecast(models.feature_frame(prices(spark, sf_dir), market(rets)), ["ret", "volatility", "market_ret"])
 
 
+@query()
+def tree_outlook(spark, sf_dir):
+    """Three steps a symbol; the sign of a day's market stands for its sentiment. Boosting is shorter than by default: each round is a job."""
+    rets = returns(spark, sf_dir)
+    rows = models.feature_frame(prices(spark, sf_dir), market(rets)).withColumn("sentiment", F.signum("market_ret"))
+    return models.tree_outlook(rows, ["market_ret", "sentiment", "volatility"], boosts=5)
+
+
 @query()
 def arima_forecasts(spark, sf_dir):
     return models.arima_forecasts(prices(spark, sf_dir))

@@ -105,3 +105,38 @@ def test_plan_of_an_experiment(spark):
     middle = 0.1 + mde / 2
     assert b.sample_size == int(2 * (za + zb) ** 2 * middle * (1 - middle) / mde**2)
     assert out["same"].winner is None and out["same"].power == 0 and "low_power" in out["same"].advice and "more_users" in out["tiny"].advice
+
+
+def test_tree_outlook_is_a_loop_over_trees(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for symbol in ("A", "B"):
+        close = 100.0
+        for i in range(60):
+            x = rng.normal(size=2)
+            ret = float(0.02 * x[0] - 0.01 * x[1] ** 2 + 0.005 * rng.normal()) if i < 59 or symbol == "A" else -0.2
+            close *= 1 + ret
+            rows.append((symbol, dt.date(2024, 1, 1) + dt.timedelta(i), close, ret, 0.02, -0.5, float(x[0]), float(x[1]) if ret > -0.2 else 9.0))
+    rows += [("C", dt.date(2024, 1, 1), 5.0, 0.1, 0.1, 0.0, 0.0, 0.0), ("A", dt.date(2024, 6, 1), 1.0, None, 0.1, 0.0, 0.0, 0.0)]
+    schema = "symbol string, date date, close double, ret double, volatility double, sentiment double, x double, y double"
+    features = spark.createDataFrame(rows, schema)
+    got = {(r.symbol, r.step): r for r in models.tree_outlook(features, ["x", "y"], trees=8, depth=3, boosts=2).collect()}
+    assert sorted(got) == [(s, k) for s in "AB" for k in (1, 2, 3)]
+    used = features.where("ret is not null and symbol <> 'C'").repartition(1).sortWithinPartitions("symbol", "date")
+    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(used)
+    forest = RandomForestRegressor(labelCol="ret", numTrees=8, maxDepth=3, seed=42).fit(ready)
+    at = [Vectors.dense([0.1 * i, -0.3 * i]) for i in range(-5, 9)]
+    spread = {r.i: r.spread for r in models.tree_spread(forest, spark.createDataFrame(list(enumerate(at)), ["i", "features"]), ["i"]).collect()}
+    for i, v in enumerate(at):
+        assert abs(spread[i] - np.std([t.predict(v) for t in forest.trees])) < 1e-12
+    for s in "AB":
+        one = [got[s, k] for k in (1, 2, 3)]
+        steps = [b.forecast / a.forecast for a, b in zip(one, one[1:])]
+        assert abs(steps[0] - steps[1]) < 1e-3 and [r.date.day for r in one] == [1, 2, 3]
+        assert len({(r.confidence, r.red_flag) for r in one}) == 1 and 0 < one[0].confidence < 1
+        assert one[0].red_flag == (steps[0] - 1 <= -0.05)
+    assert models.tree_outlook(features.limit(0), ["x", "y"]).count() == 0
