@@ -194,15 +194,17 @@ def tree_spread(forest, rows: DataFrame, keys: list[str]) -> DataFrame:
 FLAG_MOVE, FLAG_SENTIMENT = -0.05, -0.3
 
 
-def tree_outlook(features: DataFrame, columns: list[str], trees: int = 200, depth: int = 10, boosts: int = 100, boost_depth: int = 5, steps: int = 3) -> DataFrame:
+def tree_outlook(features: DataFrame, columns: list[str], trees: int = 200, depth: int = 10, boosts: int = 100, boost_depth: int = 5, steps: int = 3, from_last: bool = False) -> DataFrame:
     """``symbol, step, date, forecast, confidence, red_flag``: prices of the next steps from the returns that two ensembles expect.
 
     ``features``: ``symbol, date, close, ret, volatility, sentiment`` and
     ``columns``; rows without one of them are left out, symbols with fewer than
     two have no forecast. A forest and boosted trees are fitted on all symbols'
     returns. The level from which a symbol's forecasts start is its first price
-    moved by all returns that the ensembles find for its rows; each step moves
-    it by what they expect at its last row. Confidence is 1 / (1 + spread *
+    moved by all returns that the ensembles find for its rows, or with
+    ``from_last`` its last price (the product of long and wild series leaves
+    the range of a double); each step moves it by what they expect at its last
+    row. Confidence is 1 / (1 + spread *
     volatility), of the spread of the forest's trees at that row. A flag goes up
     where a great fall meets a bad sentiment. Dates of a symbol must differ.
     """
@@ -224,7 +226,7 @@ def tree_outlook(features: DataFrame, columns: list[str], trees: int = 200, dept
     # the first row's own return leads to no price: its price is where the level starts
     moves = F.product(F.when(F.col("date") == F.col("_first"), 1.0).otherwise(F.col("move")))
     first = rows.groupBy("symbol").agg(F.min("date").alias("_first"))
-    ends = staged(fitted.join(first, "symbol").groupBy("symbol").agg((F.min_by("close", "date") * moves).alias("level"), last).select("symbol", "level", "last.*"), "ends")
+    ends = staged(fitted.join(first, "symbol").groupBy("symbol").agg((F.max_by("close", "date") if from_last else F.min_by("close", "date") * moves).alias("level"), last).select("symbol", "level", "last.*"), "ends")
     spread = tree_spread(forest, ends.select("symbol", "features"), ["symbol"])
     out = ends.drop("features").join(spread, "symbol").withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     flag = (F.col("move") - 1 <= FLAG_MOVE) & (F.col("sentiment") <= FLAG_SENTIMENT)

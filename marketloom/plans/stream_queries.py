@@ -90,10 +90,10 @@ def tree_forecasts(spark, sf_dir):
 
 @query()
 def tree_outlook(spark, sf_dir):
-    """Three steps a symbol; the sign of a day's market stands for its sentiment. Boosting is shorter than by default: each round is a job."""
+    """Three steps a symbol from its last price; the sign of a day's market stands for its sentiment. Boosting is shorter than by default: each round is a job."""
     rets = returns(spark, sf_dir)
     rows = models.feature_frame(prices(spark, sf_dir), market(rets)).withColumn("sentiment", F.signum("market_ret"))
-    return models.tree_outlook(rows, ["market_ret", "sentiment", "volatility"], boosts=5)
+    return models.tree_outlook(rows, ["market_ret", "sentiment", "volatility"], boosts=5, from_last=True)
 
 
 @query()

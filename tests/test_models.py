@@ -139,4 +139,9 @@ def test_tree_outlook_is_a_loop_over_trees(spark):
         assert abs(steps[0] - steps[1]) < 1e-3 and [r.date.day for r in one] == [1, 2, 3]
         assert len({(r.confidence, r.red_flag) for r in one}) == 1 and 0 < one[0].confidence < 1
         assert one[0].red_flag == (steps[0] - 1 <= -0.05)
+    from_last = {(r.symbol, r.step): r.forecast for r in models.tree_outlook(features, ["x", "y"], trees=8, depth=3, boosts=2, from_last=True).collect()}
+    last = {r[0]: r[2] for r in rows if r[0] in "AB" and r[3] is not None}
+    for s in "AB":
+        assert abs(from_last[s, 2] / from_last[s, 1] - from_last[s, 1] / last[s]) < 1e-3
+        assert abs(from_last[s, 2] / from_last[s, 1] - got[s, 2].forecast / got[s, 1].forecast) < 1e-3
     assert models.tree_outlook(features.limit(0), ["x", "y"]).count() == 0
