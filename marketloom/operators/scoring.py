@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,9 +77,10 @@ def sentiment_score(ewma, confident_ratio, trend, conviction) -> Column:
 
 
 def fusion_score(sentiment, technical, fundamental, volatility, sharpe, weights: dict[str, float]) -> Column:
-    """The weighted score less a penalty for volatile or poorly paid symbols."""
-    penalty = F.when(volatility > 0.4, -1.0).when(sharpe < 0.5, -0.5).otherwise(0.0)
-    return clipped(sentiment * weights["sentiment"] + technical * weights["technical"] + fundamental * weights["fundamental"] + penalty * weights["risk"], -5.0, 5.0)
+    """The weighted score less a penalty for volatile or poorly paid symbols; whole numbers are weighted exactly, so a score at a limit of ``action`` is not moved below it."""
+    exact = {k: F.lit(Decimal(str(w))) for k, w in weights.items()}
+    penalty = F.when(volatility > 0.4, Decimal("-1.0")).when(sharpe < 0.5, Decimal("-0.5")).otherwise(Decimal("0.0"))
+    return clipped(sentiment * exact["sentiment"] + technical * exact["technical"] + fundamental * exact["fundamental"] + penalty * exact["risk"], -5.0, 5.0)
 
 
 def action(score, buy: Column, sell: Column, tolerance: str = "moderate") -> Column:
