@@ -79,6 +79,14 @@ def zip_filings(rows: DataFrame, key: str, arrays: list[str], keep: Column, most
     return flat.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("pos"))).where(F.col("_r") <= most).drop("_r")
 
 
+def page_title(html) -> Column:
+    """The text of a page's ``<title>``: empty without one, null for a null page; only whole entities are read, so a title cut inside one keeps its rest."""
+    title = F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        title = F.replace(title, F.lit(entity), F.lit(sign))
+    return F.trim(F.regexp_replace(title, r"[\t\n\f\r ]+", " "))
+
+
 class _Article(HTMLParser):
     """Collects title, meta tags and visible text."""
 
