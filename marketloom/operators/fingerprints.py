@@ -67,12 +67,15 @@ def block_keys(fp: Column) -> Column:
 
 
 def fingerprint_links(prints: DataFrame) -> DataFrame:
-    """``fp_a, fp_b, bits``: pairs of distinct fingerprints that differ in ``MAX_BITS`` at most, each once."""
+    """``fp_a, fp_b, bits``: pairs of distinct fingerprints that differ in ``MAX_BITS`` at most, each once.
+
+    Keys are merged: twenty a fingerprint look as small as the file they come from, and would be broadcast.
+    """
     distinct = staged(prints.select(F.col("fingerprint").alias("fp")).distinct(), "prints")
     keyed = distinct.select("fp", F.inline(block_keys(F.col("fp"))))
     a, b = keyed.withColumnRenamed("fp", "fp_a"), keyed.withColumnRenamed("fp", "fp_b")
     bits = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b")))
-    return a.join(b, ["which", "key"]).where(F.col("fp_a") < F.col("fp_b")).select("fp_a", "fp_b", bits.alias("bits")).where(F.col("bits") <= MAX_BITS).distinct()
+    return a.join(b.hint("merge"), ["which", "key"]).where(F.col("fp_a") < F.col("fp_b")).select("fp_a", "fp_b", bits.alias("bits")).where(F.col("bits") <= MAX_BITS).distinct()
 
 
 def fingerprint_classes(articles: DataFrame, id_col: str, text: str) -> DataFrame:

@@ -1,0 +1,16 @@
+"""What must not grow with the tables: broadcasts, candidates, memory."""
+
+from __future__ import annotations
+
+from marketloom.operators import fingerprints as fp
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprint_keys_are_not_broadcast(spark):
+    prints = spark.createDataFrame([(0,), (7,), (15,), (-1,)], "fingerprint long")
+    links = fp.fingerprint_links(prints)
+    assert "Broadcast" not in plan_of(links)
+    assert sorted(map(tuple, links.collect())) == [(0, 7, 3), (7, 15, 1)]
