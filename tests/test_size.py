@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import random
+from datetime import date
+from difflib import SequenceMatcher
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
+
+from marketloom.operators import dedup as dd
 from marketloom.operators import fingerprints as fp
 
 
@@ -14,3 +23,35 @@ def test_fingerprint_keys_are_not_broadcast(spark):
     links = fp.fingerprint_links(prints)
     assert "Broadcast" not in plan_of(links)
     assert sorted(map(tuple, links.collect())) == [(0, 7, 3), (7, 15, 1)]
+
+
+def test_bounds_of_titles_lose_nothing():
+    rng, words = random.Random(3), ["ab", "bank", "cash", "dab", "gain", "loss", "x" * 30, "é"]
+    titles = [" ".join(rng.choices(words, k=rng.randrange(6))) for _ in range(120)]
+    table = dd.Titles(titles)
+    for title in titles[:40]:
+        most = table.most(title, 0.5, np.arange(len(titles)))
+        shared, n = table.shared_words(title)
+        for i, other in enumerate(titles):
+            ratio = dd.sequence_ratio(title, other)
+            assert not title or not other or ratio < 0.5 or most[i] >= ratio
+            assert shared[i] == len(set(title.split()) & set(other.split())) and n == len(set(title.split()))
+
+
+def test_leaders_that_cannot_reach_the_ratio_are_not_compared(monkeypatch):
+    """Leaders that cannot reach a ratio are not compared."""
+    calls = []
+    monkeypatch.setattr(dd, "sequence_ratio", lambda a, b: calls.append(1) or SequenceMatcher(None, a, b).ratio())
+    rng = random.Random(4)
+    titles = ["".join(rng.choices("etaoinshrdlu ", k=50)).strip() for _ in range(150)]
+    day = date(2024, 1, 1)
+
+    class Grouped:  # what the operators ask of a frame, to reach the function that a task runs
+        schema = type("S", (dict,), {"__missing__": lambda self, k: SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "string"))})()
+        groupBy = cogroup = where = select = withColumn = lambda self, *a: self
+        count = lambda self: 1
+        applyInPandas = lambda self, f, schema: f
+
+    rows = pd.DataFrame([(i, None, t, [], day, "r") for i, t in enumerate(titles)], columns=["seq", "url_key", "title_key", "tickers", "day", "run"])
+    clusters = dd.leader_clusters(Grouped(), ["run"])(rows)
+    assert len(clusters) == 150 and len(calls) < 1500  # 150 * 149 / 2 pairs, of which letters alone leave most
