@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.pandas.types import to_arrow_type
 
 from marketloom.staging import shared_path, staged
 
@@ -192,25 +195,89 @@ def cosine(a: str, b: str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-#: Queries that are broadcast at once; some 2 MB at 128 dimensions.
+#: Queries that go to the tasks at once; some 2 MB at 128 dimensions.
 QUERY_BLOCK = 2000
+#: Vectors that a task multiplies at once, and by how much products summed in another order may differ.
+VECTOR_BLOCK, SLACK = 1024, 1e-9
+
+
+def _units(rows: list, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of length 1, zeros where there is no cosine; and which have numbers that are too large or none, whose pairs are all worked out."""
+    whole = np.array([None not in r for r in rows], bool)
+    table = np.zeros((len(rows), width))
+    if whole.any():
+        table[whole] = np.array([r for r, w in zip(rows, whole) if w], dtype=float)
+    with np.errstate(all="ignore"):
+        size = np.sqrt((table * table).sum(1))
+    odd = ~np.isfinite(size)
+    good = ~odd & (size > 0)
+    table[~good], size[~good] = 0.0, 1.0
+    table /= size[:, None]
+    table[~good] = np.nan
+    return table, odd
+
+
+def _may_be_nearest(shared, k: int, id_type: pa.DataType):
+    """``query_id, vec_id, score`` of a task's vectors that may be among the k best of a query; score is null where all must be worked out."""
+
+    def find(batches):
+        ids, rows = shared.value
+        ids, widths, asked = np.array(ids), {len(r) for r in rows if r is not None}, {}
+        for n in widths:
+            at = np.array([i for i, r in enumerate(rows) if r is not None and len(r) == n])
+            asked[n] = (ids[at], *_units([rows[i] for i in at], n), np.full((len(at), k), -np.inf), [])
+        for batch in batches:
+            for low in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(low, VECTOR_BLOCK)
+                keys, vectors = np.array(part.column(0).to_pylist()), part.column(1).to_pylist()
+                for n, (own, q, q_odd, best, kept) in asked.items():
+                    at = [i for i, v in enumerate(vectors) if v is not None and len(v) == n]
+                    if not at:
+                        continue
+                    x, x_odd = _units([vectors[i] for i in at], n)
+                    score = q @ x.T
+                    score[own[:, None] == keys[at][None, :]] = np.nan
+                    every = q_odd[:, None] | x_odd[None, :]
+                    score[every | np.isnan(score)] = -np.inf
+                    best[:] = -np.partition(-np.concatenate([best, score], 1), k - 1, axis=1)[:, :k]
+                    i, j = np.nonzero((score >= best.min(1)[:, None] - SLACK) & (score > -np.inf) | every)
+                    kept.append((i, keys[at][j], np.where(every[i, j], np.nan, score[i, j])))
+        for own, _, _, best, kept in asked.values():
+            floor = best.min(1) - SLACK
+            for i, found, score in kept:
+                stays = np.isnan(score) | (score >= floor[i])
+                yield pa.RecordBatch.from_arrays([pa.array(own[i[stays]].tolist(), id_type), pa.array(found[stays].tolist(), id_type), pa.array(score[stays], from_pandas=True)], ["query_id", "vec_id", "score"])
+
+    return find
 
 
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, vec_id, similarity, rank``: the nearest vectors of a stated query set.
 
     Queries (query_id, query) are dealt into blocks of about ``block`` rows, one
-    more for each partition they come from at most; each block is broadcast and
-    meets all vectors in one pass, after which only its k best a query remain,
-    in a table of the block's own.
+    more for each partition they come from at most; each block goes to all
+    tasks and meets all vectors in one pass of matrix products. What may be
+    among a query's k best by these is worked out again in full and ranked, in
+    a table of the block's own. Of equal vectors only the k + 1 least ids take
+    part. Pairs without a cosine come last, in the order of ids.
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // block))
     root = shared_path(spark, "nearest")
     dealt = staged(queries.select("query_id", "query", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block")), "queries")
+    some = staged(top_per_group(vectors.select("vec_id", "embedding"), "embedding", [F.asc("vec_id")], k + 1).select("vec_id", "embedding"), "vectors")
+    # fewer than k with a cosine: the others are among the first 2 k + 1 ids
+    first = vectors.select("vec_id").orderBy("vec_id").limit(2 * k + 1)
+    kind = vectors.schema["vec_id"].dataType
     for b in range(blocks):
-        some = F.broadcast(dealt.where(F.col("block") == b).drop("block"))
-        pairs = vectors.join(some).where("query_id <> vec_id").select("query_id", "vec_id", cosine("query", "embedding").alias("similarity"))
+        asks = dealt.where(F.col("block") == b).drop("block")
+        rows = asks.collect()
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], [r["query"] for r in rows]))
+        may = staged(some.mapInArrow(_may_be_nearest(shared, k, to_arrow_type(kind)), f"query_id {kind.simpleString()}, vec_id {kind.simpleString()}, score double"), "may-be-nearest")
+        least = top_per_group(may.where("score is not null"), "query_id", [F.desc("score")], k).groupBy("query_id").agg((F.min("score") - SLACK).alias("least"))
+        left = may.join(least, "query_id", "left").where("score is null or score >= least").select("query_id", "vec_id")
+        left = left.union(asks.select("query_id").join(F.broadcast(first))).where("query_id <> vec_id").distinct()
+        pairs = left.join(vectors, "vec_id").join(asks, "query_id").select("query_id", "vec_id", cosine("query", "embedding").alias("similarity"))
         out = top_per_group(pairs, "query_id", [F.desc("similarity"), F.asc("vec_id")], k)
         out.write.parquet(f"{root}/block={b}")
     return spark.read.schema(out.schema).parquet(*(f"{root}/block={b}" for b in range(blocks)))

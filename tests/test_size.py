@@ -9,6 +9,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from marketloom.operators import dedup as dd
 from marketloom.operators import fingerprints as fp
@@ -55,3 +56,25 @@ def test_leaders_that_cannot_reach_the_ratio_are_not_compared(monkeypatch):
     rows = pd.DataFrame([(i, None, t, [], day, "r") for i, t in enumerate(titles)], columns=["seq", "url_key", "title_key", "tickers", "day", "run"])
     clusters = dd.leader_clusters(Grouped(), ["run"])(rows)
     assert len(clusters) == 150 and len(calls) < 1500  # 150 * 149 / 2 pairs, of which letters alone leave most
+
+
+def test_cosine_pairs_are_chosen_before_they_are_joined(spark):
+    """Ties by id, copies, zeros, nulls, other lengths and numbers without end give the same list as all pairs do."""
+    from pyspark.sql import functions as F
+    from marketloom.operators import ranking as rk
+
+    rng = random.Random(5)
+    vectors = [(i, [rng.choice([-1.0, 0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(60)] + [(60 + i, [1.0, 2.0, 3.0]) for i in range(30)]
+    vectors += [(90, None), (91, [1.0, None, 2.0]), (92, [1.0, 2.0]), (93, [float("inf"), 0.0, 1.0]), (94, [1e200, 1.0, 1.0]), (95, [float("nan"), 1.0, 1.0])]
+    rows = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    asks = rows.where("vec_id % 5 = 0 OR vec_id > 88").selectExpr("vec_id AS query_id", "embedding AS query")
+    every = rows.join(asks).where("query_id <> vec_id").select("query_id", "vec_id", rk.cosine("query", "embedding").alias("similarity"))
+    want = rk.top_per_group(every, "query_id", [F.desc("similarity"), F.asc("vec_id")], 4)
+    got = rk.cosine_topk(asks, rows, 4, 10)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    scores = []
+    for query in (2, 65):
+        shared = SimpleNamespace(value=([query], [vectors[query][1]]))
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in vectors[:60]]), pa.array([v for _, v in vectors[:60]])], ["vec_id", "embedding"])
+        scores += [x for part in rk._may_be_nearest(shared, 4, pa.int64())([batch]) for x in part.column(2).to_pylist()]
+    assert len(scores) < 60
