@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -130,11 +131,23 @@ def parse_html(html: str | None) -> tuple[str, str, str, str]:
     return " ".join(title.split()), page.meta.get("author", ""), page.meta.get("og:site_name", ""), "\n".join(x for x in lines if x)
 
 
+#: Pages whose strings are in a worker at once; the rest of a batch stays as Arrow has it.
+PARSED_AT_ONCE = 64
+PARSED = pa.struct([(x, pa.string()) for x in ("title", "author", "site", "body")])
+
+
+def parsed_parts(column: pa.Array) -> Iterator[pa.Array]:
+    """``parse_html`` of a batch, a few pages at a time."""
+    for low in range(0, len(column), PARSED_AT_ONCE):
+        rows = [parse_html(x) for x in column.slice(low, PARSED_AT_ONCE).to_pylist()]
+        yield pa.array([dict(zip(PARSED.names, r)) for r in rows], PARSED)
+
+
 def extract_html(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with ``title, author, site, body`` read from the HTML."""
 
-    @F.pandas_udf("title string, author string, site string, body string")
-    def extract(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_html(x) for x in column], columns=["title", "author", "site", "body"])
+    @F.arrow_udf("title string, author string, site string, body string")
+    def extract(column: pa.Array) -> pa.Array:
+        return pa.chunked_array(parsed_parts(column), PARSED).combine_chunks()
 
     return pages.withColumn("_x", extract(html)).select(*pages.columns, "_x.*")

@@ -13,6 +13,7 @@ import pyarrow as pa
 
 from marketloom.operators import dedup as dd
 from marketloom.operators import fingerprints as fp
+from marketloom.sources import files
 
 
 def plan_of(df) -> str:
@@ -78,3 +79,11 @@ def test_cosine_pairs_are_chosen_before_they_are_joined(spark):
         batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in vectors[:60]]), pa.array([v for _, v in vectors[:60]])], ["vec_id", "embedding"])
         scores += [x for part in rk._may_be_nearest(shared, 4, pa.int64())([batch]) for x in part.column(2).to_pylist()]
     assert len(scores) < 60
+
+
+def test_pages_are_parsed_a_few_at_a_time(spark):
+    pages = [f"<title>t{i}</title><p>body {i}</p>" for i in range(150)] + [None]
+    assert max(len(x) for x in files.parsed_parts(pa.array(pages))) <= files.PARSED_AT_ONCE
+    got = files.extract_html(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).orderBy("page_id").collect()
+    assert [(r.title, r.author, r.site, r.body) for r in got] == [files.parse_html(x) for x in pages]
+    assert files.extract_html(spark.createDataFrame([], "page_id int, html string")).count() == 0
