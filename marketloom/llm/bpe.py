@@ -6,7 +6,9 @@ Where such a place is also certain to separate (or harmlessly divide) pieces
 of the pre-tokeniser, a text is cut, every time: mostly at the end of each
 word. The fragments are encoded independently and their ids concatenated, so
 memory is bounded by the longest stretch without a certain cut, not by the
-text; a worker remembers a bounded number of short fragments.
+text. Runs of some 4 KB between cuts are encoded at once where the ranks alone
+tell the ids; others are cut at every place, and a worker remembers a bounded
+number of their short fragments.
 
 Nulls count as empty texts, which have no ids. A text in which no certain cut
 occurs is one fragment; so is every text if the vocabulary normalises texts or
@@ -31,6 +33,8 @@ from marketloom.llm.common import raw_rows, small_batches, text_or_empty
 
 #: Least length of a fragment, and how far one look for cuts reaches (both in bytes).
 FRAGMENT, BLOCK = 1, 1 << 16
+#: Least length of a run that is encoded at once.
+RUN = 1 << 12
 #: Fragments that a worker remembers, and bytes of the longest of them.
 MEMO, MEMO_BYTES = 1 << 15, 64
 #: The pieces that byte-level vocabularies of this family are split into first: a fixed value.
@@ -121,35 +125,49 @@ class Codec:
             return None
         return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+    def _by_ranks(self, piece: bytes) -> bool:
+        return self.ranked is not None and not BEYOND_LATIN(piece) and not any(t in piece for t in self.added)
+
     def _ids_of(self, fragment: bytes) -> bytes:
-        if self.ranked and not BEYOND_LATIN(fragment) and not any(t in fragment for t in self.added):
+        if self._by_ranks(fragment):
             return array("i", self.ranked(fragment.decode())).tobytes()
         return array("i", self.tokenizer.encode(fragment.decode(), add_special_tokens=False).ids).tobytes()
 
-    def fragments(self, raw: bytes):
-        """Pieces of a text between certain cuts."""
-        codes, start = np.frombuffer(raw, np.uint8), 0
+    def fragments(self, raw: bytes, least: int | None = None):
+        """Pieces of a text between certain cuts, ``least`` (``FRAGMENT``) bytes long or more but for the last."""
+        codes, start, least = np.frombuffer(raw, np.uint8), 0, least or FRAGMENT
         for low in range(0, len(raw) - 1, BLOCK):
             part = codes[low : low + BLOCK + 1].astype(np.uint16)
-            for end in (np.flatnonzero(self.cut[(part[:-1] << 8) | part[1:]]) + (low + 1)).tolist():
-                if end - start >= FRAGMENT:
-                    yield raw[start:end]
-                    start = end
+            cuts = np.flatnonzero(self.cut[(part[:-1] << 8) | part[1:]]) + (low + 1)
+            if least > 1:
+                at, few = start, []
+                while (i := int(cuts.searchsorted(at + least))) < len(cuts):
+                    at = int(cuts[i])
+                    few.append(at)
+            else:
+                few = cuts.tolist()
+            for end in few:
+                yield raw[start:end]
+                start = end
         if start < len(raw):
             yield raw[start:]
 
     def encode(self, raw: bytes) -> bytes:
         """The ids of a UTF-8 text as little-endian 32-bit integers."""
         known, out = self.known, []
-        for piece in self.fragments(raw):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._ids_of(piece)
-                if len(piece) <= MEMO_BYTES:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
+        for run in self.fragments(raw, RUN):
+            if self._by_ranks(run):
+                out.append(self._ids_of(run))
+                continue
+            for piece in self.fragments(run):
+                ids = known.get(piece)
+                if ids is None:
+                    ids = self._ids_of(piece)
+                    if len(piece) <= MEMO_BYTES:
+                        if len(known) >= MEMO:
+                            known.clear()
+                        known[piece] = ids
+                out.append(ids)
         return b"".join(out)
 
 

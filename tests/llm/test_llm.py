@@ -502,3 +502,22 @@ def test_decontamination_by_one_seed_and_of_short_items(spark):
     benchmark = spark.createDataFrame([(7, " ".join(item)), (8, "too short"), (9, "Lone!"), (10, "..."), (11, None), (12, "too short")], "item_id long, text string")
     got = rows_of(decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark), "doc_id", "item_id", "score", "first_word", "n_words")
     assert got == sorted([(1, 7, (11 * 2 - 4) / 32, 2, 15), (2, 7, 1.0, 0, 16), (3, 8, 1.0, 1, 2), (3, 12, 1.0, 1, 2), (6, 9, 1.0, 0, 1)], key=repr)
+
+
+def test_long_runs_are_encoded_at_once():
+    """Text that the ranks can encode costs one call a run, and has the tokenizer's ids, next to runs they cannot encode too."""
+    from tokenizers import Tokenizer
+
+    from marketloom.llm import bpe
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    tokenizer.no_padding()
+    tokenizer.no_truncation()
+    plain = " ".join(f"Wörter and words{i}'s, {i % 97}!\n" for i in range(4000))
+    for text in (plain, plain + "日本 Ω" * 9 + plain, plain[:70_000] + "a" * 9000 + plain, "x", ""):
+        one, calls = bpe.Codec(queries.tokenizer_path()), []
+        encode = one._ids_of
+        one._ids_of = lambda piece: calls.append(len(piece)) or encode(piece)
+        assert np.frombuffer(one.encode(text.encode()), np.int32).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        if text == plain:
+            assert len(calls) <= len(text.encode()) // bpe.RUN + 1
