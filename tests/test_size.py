@@ -87,3 +87,10 @@ def test_pages_are_parsed_a_few_at_a_time(spark):
     got = files.extract_html(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")).orderBy("page_id").collect()
     assert [(r.title, r.author, r.site, r.body) for r in got] == [files.parse_html(x) for x in pages]
     assert files.extract_html(spark.createDataFrame([], "page_id int, html string")).count() == 0
+
+
+def test_pairs_of_articles_are_not_joined(spark):
+    """Articles meet by blocks; no join of the links has a row for each pair that shares a phrase."""
+    rows = spark.createDataFrame([(i, f"title {i}", ["1", f"p{i % 3}"]) for i in range(12)], "id long, title string, phrases array<string>")
+    links = dd.near_links(rows)
+    assert "Join" not in plan_of(links) and links.count() == 12 * 11 // 2
