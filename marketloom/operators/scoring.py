@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from marketloom.functions.text import let
 from marketloom.operators import timeseries as ts
 from marketloom.operators.decision import content_reasons, first_reason, ladder, lookup
 
@@ -281,12 +282,34 @@ def direction_vote(momentum, consensus, sector, options, volatile, data_quality)
 
 def term_relevance(text, title, name: str, symbol: str, keywords: Sequence[str], reach: int = 100) -> Column:
     """0 to 1 by mentions, the title, and keywords within ``reach`` characters of a mention."""
-    lower, head = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(title, F.lit("")))
-    mentions = F.regexp_count(lower, F.lit(rf"\b{symbol.lower()}\b"))
-    near = F.regexp_extract_all(lower, F.lit(rf"(?s)(.{{0,{reach}}}\b{symbol.lower()}\b.{{0,{reach}}})"), F.lit(1))
-    hits = F.aggregate(near, F.lit(0), lambda n, w: n + sum((w.contains(k).cast("int") for k in keywords), F.lit(0)))
+    head = F.lower(F.coalesce(title, F.lit("")))
+    # a text is cut at its mentions, which gives their places; a window opens ``reach`` before a mention, but not in the window before, and ends ``reach`` after the last mention within ``reach`` of its start
+    said = lambda w: sum((w.contains(k).cast("int") for k in keywords), F.lit(0))
+    size, state = len(symbol), "struct<hits:int,place:int,start:int,last:int>"
+
+    def hits_of(lower: Column, parts: Column) -> Column:
+        # places count from 0; a start of -1 is no window yet
+        begin = F.struct(F.lit(0).alias("hits"), F.length(parts[0]).alias("place"), F.lit(-1).alias("start"), F.lit(-1).alias("last")).cast(state)
+        end = lambda x: x["last"] + size + reach
+        window = lambda x: F.when(x["start"] < 0, 0).otherwise(said(F.substring(lower, x["start"] + 1, end(x) - x["start"])))
+
+        def step(x: Column, part: Column) -> Column:
+            at, fresh = x["place"], x["start"] < 0
+            grows = ~fresh & (at - x["start"] <= reach)
+            opens = fresh | (~grows & (at >= end(x)))
+            return F.struct(
+                (x["hits"] + F.when(opens, window(x)).otherwise(0)).alias("hits"), (at + size + F.length(part)).alias("place"),
+                F.when(opens, F.greatest(F.when(fresh, 0).otherwise(end(x)), at - reach)).otherwise(x["start"]).alias("start"), F.when(opens | grows, at).otherwise(x["last"]).alias("last"),
+            ).cast(state)
+
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), begin, step, lambda x: x["hits"] + window(x))
+
+    # mentions and hits in one, as the text is cut once
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    found = let(lower, lambda t: let(F.split(t, rf"\b{symbol.lower()}\b", -1), lambda p: F.struct((F.size(p) - 1).alias("mentions"), hits_of(t, p).alias("hits"))))
     boost = F.when(head.contains(symbol.lower()), 0.3).otherwise(0.0) + F.when(head.contains(name.lower()), 0.4).otherwise(0.0)
-    return F.least(F.lit(1.0), F.least(F.lit(1.0), mentions * 0.3) + boost + F.least(F.lit(0.4), hits * 0.1))
+    score = lambda x: F.least(F.lit(1.0), F.least(F.lit(1.0), x["mentions"] * 0.3) + boost + F.least(F.lit(0.4), x["hits"] * 0.1))
+    return let(found, score)
 
 
 def experiment_advice(users, rate, base_rate, p_value, effect, least_users: int = 1000) -> Column:
