@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,8 @@ from marketloom.staging import staged
 
 #: Names whose automaton goes to the executors at once: bytes of names at most. An automaton takes some forty times that.
 SHARD_BYTES = 1 << 20
+#: Spans that a task compares with a list of names.
+SPANS_OF_A_TASK = 5_000
 # How sure each kind of mention is, and the least partial ratio of a name in a text and in a headline.
 CONFIDENCE = {"symbol": 1.0, "name": 1.0, "alias": 0.9}
 SPAN_RATIO, HEADLINE_RATIO = 85, 75
@@ -162,6 +165,82 @@ def similar_names(spans: DataFrame, names: DataFrame, least: int = SPAN_RATIO) -
     return pairs.where("whole").select("span", "name", F.lit(100.0).alias("ratio")).unionByName(scored.select("span", "name", "ratio"))
 
 
+class NameIndex:
+    """Names by their runs of two letters; see ``similar_names`` for why the bound loses none."""
+
+    def __init__(self, names: list[str], least: int) -> None:
+        import ahocorasick
+
+        self.names, self.least = sorted(names), least
+        self.size = np.array([len(x) for x in self.names])
+        runs = [set(map("".join, zip(x, x[1:]))) for x in self.names]
+        self.needed = np.array([len(r) for r in runs]) - self.spoiled(self.size)
+        rows: dict[str, list[int]] = {}
+        for i, r in enumerate(runs):
+            for run in r:
+                rows.setdefault(run, []).append(i)
+        self.rows = {run: np.array(x) for run, x in rows.items()}
+        self.parts = ahocorasick.Automaton()
+        for i, name in enumerate(self.names):
+            self.parts.add_word(name, i)
+        self.parts.make_automaton()
+
+    def spoiled(self, size):
+        return 2 * (size * 2 * (100 - self.least) // 100)
+
+    def best(self, span: str) -> tuple[str, float] | None:
+        """The most similar name of a span of two letters or more and its ratio, ties by name; one that is a part of the other is 100 and ends the search."""
+        runs = set(map("".join, zip(span, span[1:])))
+        whole = [i for _, i in self.parts.iter(span)]
+        found = [self.rows[r] for r in runs if r in self.rows]
+        if len(found) == len(runs):
+            whole += next(([i] for i in min(found, key=len).tolist() if span in self.names[i]), [])
+        if whole:
+            return self.names[min(whole)], 100.0
+        if not found:
+            return None
+        at, shared = np.unique(np.concatenate(found), return_counts=True)
+        needed = np.where(self.size[at] >= len(span), len(runs) - self.spoiled(len(span)), self.needed[at])
+        name, top = None, 0.0
+        for i in at[shared >= needed].tolist():
+            ratio = partial_ratio(span, self.names[i], max(self.least, top))
+            if ratio > top:
+                name, top = self.names[i], ratio
+        return (name, top) if name else None
+
+
+def best_names(spans: DataFrame, names: DataFrame, least: int = SPAN_RATIO) -> DataFrame:
+    """``span, name, ratio``: of each distinct span the first of its most similar names, if the ratio is ``least`` (85 at least) or more.
+
+    Names go out in lists of a bounded size and each task finds the best of a
+    list for its spans, so no pair is moved; lists share spans, not names.
+    """
+    if least < 85:
+        raise ValueError("the filter loses no pair from 85 on")
+    rows, found = staged(spans.where("length(span) > 1").select("span").distinct(), "spans"), None
+    # spans are few bytes and much work: a small table would be one task
+    rows = rows.repartition(max(1, -(-rows.count() // SPANS_OF_A_TASK)))
+    for shard in name_shards(names.where("length(name) > 1")):
+        if shard:
+            part = rows.mapInArrow(_best_finder(rows, shard, least), "span string, name string, ratio double")
+            found = part if found is None else found.union(part)
+    if found is None:
+        return rows.limit(0).select("span", F.lit("").alias("name"), F.lit(0.0).alias("ratio"))
+    return found.groupBy("span").agg(F.min_by(F.struct("name", "ratio"), F.struct(-F.col("ratio"), F.col("name"))).alias("x")).select("span", "x.*")
+
+
+def _best_finder(rows: DataFrame, names: list[str], least: int):
+    shared = rows.sparkSession.sparkContext.broadcast(names)
+
+    def find(batches):
+        index = NameIndex(shared.value, least)
+        for batch in batches:
+            out = [(span, *best) for span in batch.column("span").to_pylist() if (best := index.best(span))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64()))], ["span", "name", "ratio"])
+
+    return find
+
+
 def company_spans(articles: DataFrame, id_col: str, text: str) -> DataFrame:
     """``id, span, n``: runs of one to four capitalised words, lower-cased, that can be a company: longer than two characters, no stop word."""
     rows = articles.select(F.col(id_col).alias("id"), F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPAN), F.lit(0))).alias("span"))
@@ -177,7 +256,7 @@ def fuzzy_mentions(articles: DataFrame, id_col: str, text: str, directory: DataF
     names = staged(directory_rows(directory).where("kind <> 'symbol'"), "directory")
     spans = staged(company_spans(articles, id_col, text), "spans")
     exact = names.select(F.col("name").alias("span")).distinct()
-    best = similar_names(spans.select("span").distinct().join(exact, "span", "left_anti"), names, least).join(names, "name")
+    best = best_names(spans.select("span").distinct().join(exact, "span", "left_anti"), names, least).join(names, "name")
     best = best.groupBy("span").agg(F.min_by(F.struct("ticker", "name", "ratio"), F.struct(-F.col("ratio"), F.col("name"), F.col("ticker"))).alias("x")).select("span", "x.*")
     return spans.join(best, "span").select(F.col("id").alias(id_col), "ticker", "span", "name", "ratio", "n")
 

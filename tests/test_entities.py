@@ -142,3 +142,26 @@ def test_classes(spark):
     rows = [(5, base), (3, base + " more"), (9, base), (1, "something else entirely different"), (2, None), (4, "")]
     got = {r.doc_id: (r.class_id, r.n_links) for r in fp.fingerprint_classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
     assert got[5][0] == got[9][0] == got[3][0] == 3 and got[1] == (1, 0) and got[2] == got[4] == (2, 0)
+
+
+def test_best_names_need_no_pairs(spark, monkeypatch):
+    """The best of all names, ties by name, for spans of which most hold a name or are held by one; those are never scored."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcd ", k=rng.randrange(2, 12))).strip() or "ab"
+    spans, names = sorted({word() for _ in range(250)} | {"é", "aaaaaaaaaa"}), sorted({word() for _ in range(40)} | {"aaaa", "x"})
+    want = {}
+    for s in spans:
+        found = [(-en.partial_ratio(s, n, 85), n) for n in names if len(s) > 1 and len(n) > 1]
+        best = min((f for f in found if f[0]), default=None)
+        if best:
+            want[s] = (best[1], -best[0])
+    rows, listed = spark.createDataFrame([(s,) for s in spans], "span string"), spark.createDataFrame([(n,) for n in names], "name string")
+    shards = en.name_shards
+    for shard in (1 << 20, 100):
+        monkeypatch.setattr(en, "name_shards", lambda df, most=shard, plain=shards: plain(df, most))
+        got = {r.span: (r["name"], r.ratio) for r in en.best_names(rows, listed).collect()}
+        assert got == want and any(r < 100 for _, r in got.values())
+    calls, plain = [], en.partial_ratio
+    monkeypatch.setattr(en, "partial_ratio", lambda *a: calls.append(1) or plain(*a))
+    index = en.NameIndex([n for n in names if len(n) > 1], 85)
+    assert all(index.best(s) == want.get(s) for s in spans if len(s) > 1) and len(calls) < len(spans) * len(names) / 10
