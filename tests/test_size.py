@@ -120,3 +120,13 @@ def test_windows_around_mentions_are_the_regex(spark):
     began = time.time()
     assert long.select(sc.term_relevance(F.col("text"), F.lit(""), "hand", "one", ["the"]).alias("s")).agg(F.max("s")).head()[0] == 0
     assert time.time() - began < 15
+
+
+def test_members_of_clusters_are_shuffled_once(spark):
+    """Counts of distinct publishers and sources do not multiply the members."""
+    from marketloom.operators import articles as ar
+
+    rows = [(1, "u", "p", "s", "T"), (1, "v", "q", "s", None), (1, "u", "p", None, "T"), (2, "u", None, None, "S")]
+    out = ar.cluster_context(spark.createDataFrame(rows, "cluster long, url string, publisher string, source string, ticker string"))
+    assert "Expand" not in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == [("u", 2, 1, ["S", "T"]), ("v", 2, 1, ["T"])]
