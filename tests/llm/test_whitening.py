@@ -79,6 +79,20 @@ def test_feast_misses_none(case):
     assert np.abs(vectors.T @ vectors - np.eye(len(values))).max() < 1e-8 and np.abs(v @ vectors - vectors * values).max() < 1e-9 * np.trace(v)
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.01, 1e-4, 1e-7])
+def test_feast_where_eigenvalues_are_close(spread):
+    """Many vectors of no direction have nearly equal variances, beside those of large groups of copies."""
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+        e = np.sort(np.r_[1.3, 1.15, 1 + spread * rng.random(62)][seed % 2 :])[::-1] if seed else np.r_[2.0, 1 + spread * np.linspace(1, 0, 63)]
+        q = q[:, : len(e)]
+        v = (q * e) @ q.T
+        values, vectors = whitening.feast((v + v.T) / 2, 8)
+        assert np.allclose(values, e[:8], rtol=1e-12) and np.abs(vectors.T @ vectors - np.eye(8)).max() < 1e-6
+        assert np.abs(v @ vectors - vectors * values).max() < 1e-12
+
+
 def test_inertia_counts():
     rng = np.random.default_rng(9)
     for d in (1, 2, 5, 17):
