@@ -84,6 +84,26 @@ def test_near_stage(spark, stages, columns):
     assert stages["SimHash near-dedup"](spark, frame(spark, rows).limit(0), SF).count() == 0
 
 
+def test_near_stage_links_near_fingerprints(spark, stages):
+    """Two edits in sixty words leave less than 0.8 of five-word shingles; the fingerprints may still be near."""
+    from marketloom.llm.simhash import fingerprint_of
+
+    rng = random.Random(5)
+    bits = lambda a, b: (fingerprint_of(a.encode(), 3) ^ fingerprint_of(b.encode(), 3)).bit_count()
+    likeness = lambda a, b: len(shingles_of(a) & shingles_of(b)) / len(shingles_of(a) | shingles_of(b))
+    rows, found = [], 0
+    while found < 4:
+        words = [f"w{rng.randrange(900)}" for _ in range(60)]
+        a, b = " ".join(words), " ".join(w if i not in (20, 40) else f"other{i}" for i, w in enumerate(words))
+        near = bits(a, b) <= 3
+        if near or not rows:
+            assert likeness(a, b) < 0.8
+            rows += [(len(rows), a), (len(rows) + 1, b)]
+            found += near
+    out = {r.doc_id for r in stages["SimHash near-dedup"](spark, frame(spark, rows), SF).collect()}
+    assert out == {i for i, (_, t) in enumerate(rows) if i % 2 == 0 or bits(rows[i - 1][1], t) > 3}
+
+
 def test_decontamination_stage(spark, stages, columns):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").where(F.length("text") > 40).orderBy("item_id").head()
     leak = f"before it, {item.text} and after"
