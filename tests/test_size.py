@@ -175,3 +175,29 @@ def test_sequence_ratio_is_that_of_difflib():
         a, b = ("".join(rng.choice(letters) for _ in range(rng.randrange(67))) for _ in range(2))
         b = a[: rng.randrange(67)] + b[:9] + a[rng.randrange(67) :] if k % 2 else b
         assert sequence_ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_copies_of_articles_are_counted_not_paired(spark, monkeypatch):
+    """Equal articles are one class; what stays and how many each is linked to is that of all pairs, also where only the order of two ids makes a link."""
+    rng = random.Random(8)
+    titles = ["alpha beta gamma delta", "alpha beta gamma delto", "alpha beta gamme dolta", "quite another headline"]
+    kinds = [(rng.choice(titles), rng.sample("abcdefghij", rng.randrange(5))) for _ in range(40)]
+    rows = [(i, *kinds[rng.randrange(40)]) for i in rng.sample(range(1000), 150)]
+    frame = spark.createDataFrame(rows, "id long, title string, phrases array<string>")
+    pairs = [(r.later, r.earlier) for r in dd.near_links(frame).collect()]
+    n_links, linked = {i: 0 for i, _, _ in rows}, {}
+    for later, earlier in pairs:
+        n_links[later] += 1
+        n_links[earlier] += 1
+        linked.setdefault(later, []).append(earlier)
+    stayed, want = set(), {}
+    for i in sorted(n_links):
+        keepers = [j for j in linked.get(i, []) if j in stayed]
+        want[i] = (not keepers, min(keepers, default=i), n_links[i])
+        stayed |= {i} - ({i} if keepers else set())
+    seen, sought = [], dd.near_links
+    monkeypatch.setattr(dd, "near_links", lambda articles, *a, **b: seen.append(articles.count()) or sought(articles, *a, **b))
+    assert {r.id: (r.kept, r.keep_id, r.n_links) for r in dd.near_kept(frame, degrees=True).collect()} == want
+    assert {r.id: (r.kept, r.keep_id) for r in dd.near_kept(frame).collect()} == {i: w[:2] for i, w in want.items()}
+    distinct = {(t, frozenset(p)) for _, t, p in rows if p}
+    assert seen == [len(distinct)] * 2 and len(distinct) < len(rows) / 2
